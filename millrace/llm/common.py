@@ -51,6 +51,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(rows: int, each: int = 200_000) -> int:
+    """How many partitions of about `each` narrow rows a table of so many rows is written in."""
+    return max(1, -(-rows // each))
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a table made by written() that no later plan reads."""
     spark = df.sparkSession

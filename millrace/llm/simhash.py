@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns, dropped, written
+from millrace.llm.common import append_columns, dropped, parts, written
 
 SEED = 42
 LIMIT = 4096
@@ -163,33 +163,36 @@ def _link_lists(limit: int, distance: int):
     return run
 
 
-def links(fps: DataFrame, limit: int = LIMIT, distance: int = DISTANCE) -> DataFrame:
+def links(fps: DataFrame, limit: int = LIMIT, distance: int = DISTANCE, rows: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) whose closure is that of all pairs within the distance.
 
     a is the least of its local component, as an unsigned number.  No list of more than `limit` members is compared.
+    rows: about how many fingerprints there are, for the number of tasks (default: they are counted).
     """
     if limit < 16:
         raise ValueError("a list limit under 16 cannot always be reached by splitting")
     if not 0 <= distance <= 3:
         raise ValueError("the planes guarantee a shared list for 3 differing bits at most")
     masks = F.array(*(F.lit(signed(m)) for m in planes()))
+    n = fps.count() if rows is None else rows
     found, todo = [], fps.select(F.explode(masks).alias("mask"), "fp")
     while True:
         lists = todo.withColumn("key", F.expr("fp & mask")).select("mask", "key", "fp").repartition(F.col("mask"), F.col("key"))
-        got = written(lists.sortWithinPartitions("mask", "key").mapInArrow(_link_lists(limit, distance), "a long, b long, more boolean"))
+        lists = lists.sortWithinPartitions("mask", "key").coalesce(parts(14 * n, 400_000))
+        got = written(lists.mapInArrow(_link_lists(limit, distance), "a long, b long, more boolean"))
         found.append(got.where(~F.col("more")).select("a", "b"))
-        if got.where("more").isEmpty():
+        if not (n := got.where("more").count()):
             return reduce(DataFrame.unionAll, found).distinct()
         todo = got.where("more").select(F.col("a").alias("mask"), F.col("b").alias("fp")).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int = 1 << 40) -> DataFrame:
     """(node, root): for every node of an edge, the least node of its component.  Rounds of large and small stars.
 
-    Each round keeps its edges in the shared folder; the least neighbour is pre-aggregated, so a hub's edges are never
+    rows: a bound on the edges, for the number of files.  Each round keeps its edges in the shared folder; the least neighbour is pre-aggregated, so a hub's edges are never
     gathered in one task.
     """
-    now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().coalesce(parts(rows)))
     state = _state(now)
     while state[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -198,7 +201,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small)
+        new = written(small.coalesce(parts(2 * state[0])))
         dropped(now)
         now, before = new, state
         state = _state(now)
@@ -219,10 +222,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     linked but are never a component's id (null where a component has no other).  Extra columns are not read.
     """
     docs = written(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), width=width).select("doc_id", "fp"))
-    least = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(least, limit, distance))
+    n = docs.count()
+    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    root = components(links(least, limit, distance, n), rows=14 * n)
     grouped = least.join(root, least["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = written(grouped)
+    grouped = written(grouped.coalesce(parts(n)))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = grouped.join(ids, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.coalesce(parts(n))
