@@ -12,7 +12,7 @@ haversine(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) DOUBLE = 2 * 6371008.8D * atan
 bearing(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) DOUBLE = pmod(degrees(atan2(sin(radians(d - b)) * cos(radians(c)), cos(radians(a)) * sin(radians(c)) - sin(radians(a)) * cos(radians(c)) * cos(radians(d - b)))) + 360, 360) ;; round(bearing(s_suppkey % 90, s_nationkey, 10, 30), 6) ;; round((degrees(atan2(sin(radians(30 - s_nationkey)) * cos(radians(10)), cos(radians(s_suppkey % 90)) * sin(radians(10)) - sin(radians(s_suppkey % 90)) * cos(radians(10)) * cos(radians(30 - s_nationkey)))) + 360) % 360, 6)
 within_radius(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, r DOUBLE) BOOLEAN = haversine(a, b, c, d) <= r
 geo_midpoint(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) STRING = concat(round(degrees(atan2(sin(radians(a)) + sin(radians(c)), sqrt(pow(cos(radians(a)) + cos(radians(c)) * cos(radians(d - b)), 2) + pow(cos(radians(c)) * sin(radians(d - b)), 2)))), 6), ',', round(b + degrees(atan2(cos(radians(c)) * sin(radians(d - b)), cos(radians(a)) + cos(radians(c)) * cos(radians(d - b)))), 6))
-latlon_normalize_lon(x DOUBLE) DOUBLE = pmod(x + 180, 360) - 180 ;; latlon_normalize_lon(s_suppkey * 7.0D) ;; ((s_suppkey * 7.0 + 180) % 360) - 180
+latlon_normalize_lon(x DOUBLE) DOUBLE = pmod(x + 180, 360) - 180 ;; latlon_normalize_lon(s_suppkey * 7.0D) ;; CAST(((s_suppkey * 7.0 + 180) % 360) - 180 AS DOUBLE)
 latlon_normalize_lat(x DOUBLE) DOUBLE = greatest(-90D, least(90D, x)) ;; latlon_normalize_lat(s_suppkey * 3.0D) ;; least(90.0::DOUBLE, s_suppkey * 3.0)
 latlon_to_dms(x DOUBLE, axis STRING) STRING = concat(int(abs(x)), '° ', int(abs(x) * 60) % 60, '\' ', round(pmod(abs(x) * 3600, 60), 2), '" ', if(axis = 'lat', if(x < 0, 'S', 'N'), if(x < 0, 'W', 'E')))
 latlon_to_ddm(x DOUBLE, axis STRING) STRING = concat(int(abs(x)), '° ', round(pmod(abs(x) * 60, 60), 4), '\' ', if(axis = 'lat', if(x < 0, 'S', 'N'), if(x < 0, 'W', 'E')))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -62,12 +63,19 @@ def _null_safe(f: Callable) -> Callable:
     return run
 
 
+def _plain(x):
+    """A cell for a kernel: None for what is missing, a float for a decimal."""
+    if x is None or x is pd.NA or (isinstance(x, float) and x != x):
+        return None
+    return float(x) if isinstance(x, Decimal) else x
+
+
 def _vectorised(f: Function):
     whole = f.returns.lower() in ("long", "int", "bigint")
 
     @F.pandas_udf(f.returns)
     def run(*columns: pd.Series) -> pd.Series:
-        rows = zip(*([None if x is None or x is pd.NA or x != x else x for x in c] if c.dtype.kind in "fO" else c.tolist() for c in columns), strict=True)
+        rows = zip(*([_plain(x) for x in c] if c.dtype.kind in "fO" else c.tolist() for c in columns), strict=True)
         got = [f.kernel(*r) for r in rows]
         return pd.Series(got, dtype="Int64") if whole else pd.Series(got, dtype=object)
 
