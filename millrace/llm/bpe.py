@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import append_columns
 
-CACHE = 400_000
-CELLS = 1 << 20
+CACHE = 250_000
+CELLS = 1 << 18
 NONE = np.int64(1) << 60
 
 
@@ -73,6 +73,7 @@ class Encoder:
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
         self.pairs = Pairs(tokens, self.rank)
         self.decimal = [str(i) for i in range(len(tokens))]
+        self.ids = list(range(len(tokens)))  # one object for each id, which all cached pieces share
         self.cache: dict[str, tuple[int, ...]] = {}
         self.limit = cache
 
@@ -141,6 +142,7 @@ class Encoder:
         rows, cols = np.nonzero(token[:, :width] >= 0)
         ids = token[rows, cols].tolist()
         ends = np.cumsum(np.bincount(rows, minlength=n)).tolist()
+        ids = list(map(self.ids.__getitem__, ids))
         return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
@@ -172,7 +174,7 @@ def encoder(held, name: str, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str | None = None, digests: bool = True, slice_: int = 256) -> DataFrame:
+def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str | None = None, digests: bool = True) -> DataFrame:
     """df with n_tokens, and as asked for the ids (a binary of int32) and the digests of ids and decoded bytes.
 
     Whole texts are encoded without special tokens, each match of the pattern on its own.  A null text counts as empty
@@ -189,15 +191,13 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
 
         def run(b):
             n, packed, one, two = [], [], [], []
-            texts = b.column(at)
-            for start in range(0, len(texts), slice_):
-                for got in e.encode_batch(texts.slice(start, slice_).to_pylist()):
-                    n.append(len(got))
-                    if ids:
-                        packed.append(np.array(got, np.int32).tobytes())
-                    if digests:
-                        one.append(sha(",".join(map(e.decimal.__getitem__, got)).encode()))
-                        two.append(sha(e.decode(got)))
+            for got in e.encode_batch(b.column(at).to_pylist()):
+                n.append(len(got))
+                if ids:
+                    packed.append(np.array(got, np.int32).tobytes())
+                if digests:
+                    one.append(sha(",".join(map(e.decimal.__getitem__, got)).encode()))
+                    two.append(sha(e.decode(got)))
             return [n, *([packed] if ids else []), *([one, two] if digests else [])]
 
         return run

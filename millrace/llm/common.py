@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
 
+SLICE = 512
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,7 +71,8 @@ def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[],
     """df with further columns, computed from Arrow batches; all other columns pass through.
 
     outputs: name -> type (a key of ARROW).  factory runs once per task and returns the function that gives, for a
-    batch, one list per output.  An input column that has an output's name is replaced.
+    batch, one list per output.  An input column that has an output's name is replaced.  Batches are worked on in
+    slices of SLICE rows, so what is held as Python objects stays small.
     """
     keep = [c for c in df.columns if c not in outputs]
     src = df.select(*(F.col(quoted(c)) for c in keep))
@@ -77,7 +81,7 @@ def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = factory()
-        for b in batches:
+        for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             made = compute(b)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
 

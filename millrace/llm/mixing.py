@@ -23,6 +23,12 @@ FEATURES = 256 + 3
 TARGETS = {"q1t0": 0.78, "q0t0": 0.12, "q1t1": 0.08, "q0t1": 0.02}
 
 
+#: A label's domain; BY_QUALITY leaves toxicity out, for corpora that it has been filtered from.
+DOMAIN = "concat('q', quality, 't', toxic)"
+BY_QUALITY = "concat('q', quality)"
+QUALITY_TARGETS = {"q1": 0.88, "q0": 0.12}
+
+
 def features(text: str | None) -> tuple[np.ndarray, int]:
     """Square roots of byte frequencies, with length, bytes a word and a repeated-line share; and the number of words."""
     raw = (text or "").encode()
@@ -43,13 +49,13 @@ class DomainModel:
         return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED, rounds: int = 400, l2: float = 1e-3) -> DomainModel:
-    """Learn domains from at most n labelled rows outside the held-out ones; n x FEATURES numbers come to the driver.
+def fit(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED, rounds: int = 400, l2: float = 1e-3, domain: str = DOMAIN) -> DomainModel:
+    """Learn domains (an expression over labels) from at most n labelled rows outside the held-out ones; n x FEATURES numbers come to the driver.
 
     Rows with a null label are left out.  Without labelled rows there is one domain, "all", of posterior 1.
     """
     ids = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = ids.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic"))).alias("domain"))
+    ids = ids.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.expr(domain)).alias("domain"))
     rows = docs.select("doc_id", "text").join(F.broadcast(bounded_sample(ids, F.col("id"), n)), F.col("doc_id") == F.col("id")).select("domain", "text")
 
     def measured(batches):
@@ -189,14 +195,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = DOMAIN) -> DataFrame:
     """docs with each row as often as its rate says; the columns are those of docs.
 
     Columns of docs named n_tokens, posterior, rate or _copies are not allowed, since they would be overwritten.
     """
     if clash := {"n_tokens", "posterior", "rate", "_copies"} & set(docs.columns):
         raise ValueError(f"columns in use: {sorted(clash)}")
-    model = fit(docs, labels)
+    model = fit(docs, labels, domain=domain)
     columns = docs.columns
     members = written(memberships(docs.select("text"), model).select("n_tokens", "posterior"))
     steps, shrink, _ = fit_rates(members, model.domains, targets or TARGETS)
