@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import slices
+
 CHAT = "{% for m in messages %}### {{ m.role | name }}: {% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}</turn>\n{% endfor %}"
 TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.S)
 
@@ -396,7 +398,7 @@ def read_back(segments: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, str,
 def _formatted(source: str):
     def run(batches):
         template = Template(source)
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        rows = (r for b in slices(batches) for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
         out: list[tuple] = []
 
         def batch():
@@ -429,7 +431,7 @@ def render(df: DataFrame, template: str = CHAT, conv_id: str = "conv_id") -> Dat
 
     def run(batches):
         t = Template(template)
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        rows = (r for b in slices(batches) for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
         for conv, turns in groupby(rows, key=lambda r: r[0]):
             out, spans = t.render(messages=({"role": r[1] or "", "text": r[2] or ""} for r in turns))
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([out]), pa.array([[list(s) for s in spans]], pa.list_(pa.list_(pa.int64())))], names=["conv_id", "formatted", "spans"])

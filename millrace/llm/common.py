@@ -67,6 +67,13 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of SLICE at most, so that few are ever held as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """df with further columns, computed from Arrow batches; all other columns pass through.
 
@@ -81,7 +88,7 @@ def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = factory()
-        for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
+        for b in slices(batches):
             made = compute(b)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
 

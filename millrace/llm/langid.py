@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns, bounded_sample, held_out
+from millrace.llm.common import append_columns, bounded_sample, held_out, slices
 
 BITS = 14
 SLOTS = 1 << BITS
@@ -127,7 +127,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 2, alpha
 
 
 def _features(batches):
-    for b in batches:
+    for b in slices(batches):
         lang, at, n = [], [], []
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s, c = sparse(text)

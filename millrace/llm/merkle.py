@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns
+from millrace.llm.common import append_columns, slices
 
 WORDS = 8
 SHORT = 3
@@ -130,7 +130,7 @@ def _compare(batches):
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     open_, out = None, []
     done = None  # a bucket whose successor has been met
-    for b in batches:
+    for b in slices(batches):
         for bucket, tail, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if tail and done == bucket:
                 continue

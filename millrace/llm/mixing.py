@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns, bounded_sample, held_out, quoted, written
+from millrace.llm.common import append_columns, bounded_sample, held_out, quoted, slices, written
 
 MAX_LABELLED = 8000
 FEATURES = 256 + 3
@@ -59,7 +59,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED, rounds: int =
     rows = docs.select("doc_id", "text").join(F.broadcast(bounded_sample(ids, F.col("id"), n)), F.col("doc_id") == F.col("id")).select("domain", "text")
 
     def measured(batches):
-        for b in batches:
+        for b in slices(batches):
             x = [features(t)[0].astype(np.float32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["domain", "x"])
 
@@ -129,7 +129,7 @@ def totals(members: DataFrame, steps: list, shrink: float, k: int) -> np.ndarray
 
     def run(batches):
         out = np.zeros(k)
-        for b in batches:
+        for b in slices(batches):
             p = stacked(b.column(1), k)
             out += (rates(p, g, shrink) * np.asarray(b.column(0), np.float64)) @ p
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=[f"d{i}" for i in range(k)])

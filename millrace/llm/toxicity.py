@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns, bounded_sample, held_out, written
+from millrace.llm.common import append_columns, bounded_sample, held_out, slices, written
 
 WORD = re.compile(r"\w+")
 MAX_LABELLED = 20_000
@@ -108,7 +108,7 @@ def _contexts(batches):
     A word counts once a text, so a long text weighs no more than a short one; copies, edited ones too, mostly have the
     same least context and fall together when the rows are made distinct.
     """
-    for b in batches:
+    for b in slices(batches):
         seen = set()
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = ["", *WORD.findall((text or "").lower()), ""]
@@ -126,7 +126,7 @@ SKETCH = 4
 
 def _sketched(batches):
     """text and toxic with SKETCH min-hashes of the text's three-word shingles."""
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for text in b.column(0).to_pylist():
             words = WORD.findall((text or "").lower())
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED, z: float = 3.
 
 def _measured(model: ToxicityModel):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             toxic, n, scores = [], [], []
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = WORD.findall((text or "").lower())
