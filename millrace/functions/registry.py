@@ -84,10 +84,10 @@ def _vectorised(f: Function):
 
 def catalogue() -> dict[str, Function]:
     """All functions by name."""
-    from millrace.functions import arrays, codecs, conversion, datetime, geo, identifiers, json_text, mathematics, network, strings, text
+    from millrace.functions import arrays, codecs, conversion, datetime, formats, geo, identifiers, json_text, mathematics, network, strings, text
 
     found: dict[str, Function] = {}
-    for module in (strings, mathematics, arrays, datetime, conversion, json_text, text, identifiers, codecs, network, geo):
+    for module in (strings, mathematics, arrays, datetime, conversion, json_text, text, identifiers, codecs, network, geo, formats):
         for f in module.FUNCTIONS:
             if f.name in found:
                 raise ValueError(f"two functions named {f.name}")
