@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import append_columns
 
-CACHE = 250_000
+CACHE = 120_000
+BATCH = 128
 CELLS = 1 << 18
 NONE = np.int64(1) << 60
 
@@ -36,19 +37,25 @@ def load_ranks(path: str) -> list[bytes]:
 class Pairs:
     """Rank of a pair of tokens, by an open-addressing hash table in arrays; -1 where the two do not merge."""
 
-    def __init__(self, tokens: list[bytes], rank: dict[bytes, int]):
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.keys, self.ranks, self.bits = keys, ranks, len(keys).bit_length() - 1
+
+    @staticmethod
+    def of(tokens: list[bytes]) -> Pairs:
+        rank = {t: i for i, t in enumerate(tokens)}
         found = {}
         for t in tokens:
             for i in range(1, len(t)):
                 if (a := rank.get(t[:i])) is not None and (b := rank.get(t[i:])) is not None:
                     found[a << 32 | b] = rank[t]
-        self.bits = max(8, (4 * len(found)).bit_length())
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        bits = max(8, (4 * len(found)).bit_length())
+        keys, ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
         for k, r in found.items():
-            at = (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
-            while self.keys[at] != -1:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.keys[at], self.ranks[at] = k, r
+            at = (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+            while keys[at] != -1:
+                at = (at + 1) & ((1 << bits) - 1)
+            keys[at], ranks[at] = k, r
+        return Pairs(keys, ranks)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         k = a << np.int64(32) | b
@@ -65,13 +72,15 @@ class Pairs:
 
 
 class Encoder:
-    def __init__(self, tokens: list[bytes], pattern: str, cache: int = CACHE):
+    """tokens by rank; pairs: made from them where they are not given, which takes about a second."""
+
+    def __init__(self, tokens: list[bytes], pattern: str, cache: int = CACHE, pairs: Pairs | None = None):
         import regex
 
         self.tokens, self.pattern = tokens, regex.compile(pattern)
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
-        self.pairs = Pairs(tokens, self.rank)
+        self.pairs = pairs or Pairs.of(tokens)
         self.decimal = [str(i) for i in range(len(tokens))]
         self.ids = list(range(len(tokens)))  # one object for each id, which all cached pieces share
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -162,18 +171,6 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(held, name: str, pattern: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary, whatever the number of its tasks."""
-    key = (name, pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(held.value, pattern)
-    return _encoders[key]
-
-
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str | None = None, digests: bool = True) -> DataFrame:
     """df with n_tokens, and as asked for the ids (a binary of int32) and the digests of ids and decoded bytes.
 
@@ -181,17 +178,18 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
     (0 tokens, digests of the empty string).  Other columns pass through; repeated rows are encoded alike.  The
     vocabulary that is broadcast has a fixed size.
     """
-    held = df.sparkSession.sparkContext.broadcast(load_ranks(ranks))
+    tokens = load_ranks(ranks)
+    held = df.sparkSession.sparkContext.broadcast((tokens, Pairs.of(tokens)))
     outputs = {"n_tokens": "long"} | ({ids: "binary"} if ids else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
     at = [c for c in df.columns if c not in outputs].index(text)
 
     def factory():
-        e = encoder(held, ranks, pattern)
+        e = Encoder(held.value[0], pattern, pairs=held.value[1])  # its cache ends with the task
         sha = lambda b: hashlib.sha256(b).hexdigest()
 
         def run(b):
             n, packed, one, two = [], [], [], []
-            for got in e.encode_batch(b.column(at).to_pylist()):
+            for got in (ids_ for i in range(0, b.num_rows, BATCH) for ids_ in e.encode_batch(b.column(at).slice(i, BATCH).to_pylist())):
                 n.append(len(got))
                 if ids:
                     packed.append(np.array(got, np.int32).tobytes())
