@@ -14,6 +14,7 @@ pairs, and components are found by alternating large and small stars (Kiveris et
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns, dropped, parts, written
+from millrace.llm.common import append_columns, dropped, parts, slices, written
 
 SEED = 42
 LIMIT = 4096
@@ -231,3 +232,84 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     by_fp = grouped.join(ids, "root").select("fp", "component_id")
     out = docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out.coalesce(parts(n))
+
+
+def word_prints(text: str, prints: int) -> list[int]:
+    """`prints` independent SimHashes of the set of a text's words, signed.
+
+    Each takes the words' hashes through a mixing step of its own (multiply, shift and xor, by odd constants).
+    """
+    words = set(text.encode().lower().split())
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = []
+    for k in range(prints):
+        m = np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1)
+        x = h * m
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; a text of fewer words is one shingle, one without words has none."""
+    words = text.encode().lower().split()
+    grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def likeness_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, prints: int = 4, limit: int = LIMIT) -> DataFrame:
+    """(id, component_id) for the least doc_id of each distinct text: groups of texts at a shingle likeness of `least`.
+
+    Candidates are the links that the byte-position index gives for any of several fingerprints of a text's word set,
+    which an edit moves less than a fingerprint of shingles; each candidate pair is verified by the exact Jaccard
+    likeness of its shingle sets.  Links of an index list run to the list's least fingerprint, so a large group gives
+    as many candidates as it has members, never all pairs.  Null texts count as empty; ids that are null are left out.
+    """
+    rows = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("id").isNotNull())
+
+    def factory():
+        def run(b):
+            texts = b.column(1).to_pylist()
+            return [[hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts], [word_prints(t, prints) for t in texts]]
+
+        return run
+
+    made = append_columns(rows, {"key": "binary", "sig": "array<long>"}, factory).select("id", "key", "sig")
+    reps = made.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).select("id", "sig")
+    reps = written(reps)
+    n, pairs = reps.count(), []
+    for j in range(prints):
+        own = reps.select("id", F.col("sig")[j].alias("fp"))
+        first = own.groupBy("fp").agg(F.min("id").alias("first"))
+        edges = links(first, limit, DISTANCE, n)
+        ends = (first.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "u"), ("b", "v")))
+        pairs.append(reduce(lambda e, side: e.join(side, side.columns[0]), ends, edges).select("u", "v"))
+        pairs.append(own.join(first, "fp").where("id > first").select(F.col("first").alias("u"), F.col("id").alias("v")))
+    pairs = reduce(DataFrame.unionAll, pairs).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = written(pairs.coalesce(parts(n)))
+
+    def cut(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+
+    def verify(batches):
+        for b in slices(batches):
+            a, c = ([np.frombuffer(x, np.uint64) for x in b.column(i).to_pylist()] for i in (2, 3))
+            ok = pa.array([jaccard(x, y) >= least for x, y in zip(a, c, strict=True)], pa.bool_())
+            yield b.select(["u", "v"]).filter(ok)
+
+    wanted = pairs.select(F.col("u").alias("w")).unionAll(pairs.select("v")).distinct()
+    sets = rows.join(wanted, rows["id"] == wanted["w"]).select("id", "text").mapInArrow(cut, "id long, s binary").dropDuplicates(["id"])
+    sets = written(sets)
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
+    sure = both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long")
+    root = components(sure, "u", "v", rows=n)
+    return reps.join(root, reps["id"] == root["node"], "left").select("id", F.coalesce("root", "id").alias("component_id"))

@@ -94,3 +94,33 @@ def test_repeats_nulls_and_an_empty_table(spark):
     assert rows(simhash.near_duplicates(df.limit(0))) == []
     odd = df.withColumnRenamed("source", "fp").withColumnRenamed("lang", "component_id")
     assert len(rows(simhash.near_duplicates(odd))) == 2
+
+
+def test_likeness_groups_find_what_all_pairs_find(spark):
+    rnd = random.Random(8)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{rnd.randrange(400)}" for _ in range(220)]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(rnd.randrange(1, 4)):
+                copy[rnd.randrange(220)] = f"new{rnd.random()}"
+            texts.append(" ".join(copy))
+    texts += ["short text", "short text", "other short", None, "", "x"]
+    df = documents(spark, texts)
+    got = {r["id"]: r["component_id"] for r in simhash.likeness_groups(df, prints=6).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t or "", i)
+    assert set(got) == set(first.values())
+    sets = {i: simhash.shingles(texts[i] or "", 5) for i in got}
+    for g in groups(sorted(got), lambda a, b: simhash.jaccard(sets[a], sets[b]) >= 0.8):
+        assert {got[i] for i in g} == {min(g)}
+    assert rows(simhash.likeness_groups(df.limit(0))) == []
+
+
+def test_jaccard():
+    a, b = simhash.shingles("a b c d e f g", 5), simhash.shingles("a b c d e f h", 5)
+    assert len(a) == 3 and simhash.jaccard(a, b) == 2 / 4 and simhash.jaccard(a, a) == 1
+    assert len(simhash.shingles("a b", 5)) == 1 and simhash.jaccard(simhash.shingles("", 5), simhash.shingles(" ", 5)) == 1
