@@ -68,5 +68,10 @@ def count_min(x, eps: float = 0.001, confidence: float = 0.98, seed: int = 1) ->
 
 
 def t_digest(x) -> Column:
-    """A mergeable quantile sketch (KLL); read it with kll_sketch_get_quantile_double."""
+    """A mergeable quantile sketch (KLL); read it with t_digest_quantile."""
     return F.kll_sketch_agg_double(F.col(x).cast("double"))
+
+
+def t_digest_quantile(sketch, q: float) -> Column:
+    """The q-quantile (0 to 1) of a t_digest sketch; Spark wants q to be constant."""
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(float(q)))

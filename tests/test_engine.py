@@ -118,3 +118,39 @@ def test_index_search_finds_most_neighbours(spark):
         hits += len(exact & {r[0] for r in search.ivf_search(indexed, centres, q["embedding"], 5, 8).collect()})
         total += 5
     assert hits / total >= 0.9
+
+
+def test_commands(spark, tmp_path):
+    from millrace.plans import commands
+
+    commands.define(spark, "plus_two", "x BIGINT", "BIGINT", "x + 2")
+    assert commands.evaluate(spark, "SELECT plus_two(id) FROM range(3)", ",") == "2,3,4"
+    commands.define_drop(spark, "plus_two")
+    got = commands.numbered(spark.range(100).repartition(7), "n").collect()
+    assert sorted(r["n"] for r in got) == list(range(1, 101))
+    spark.range(3).createOrReplaceTempView("three")
+    commands.dump(spark, ["three"], str(tmp_path))
+    commands.restore(spark, ["three"], str(tmp_path))
+    assert spark.table("three").count() == 3 and "Scan parquet" in commands.explain(spark.table("three"))
+
+
+def test_sketch_functions(spark):
+    from millrace.functions.registry import sql
+
+    got = sql(spark, "SELECT bloom_might_contain(f, 'x') AS a, bloom_might_contain(f, 'y') AS b, bloom_count(f) AS n, bloom_size_bits(f) AS m FROM (SELECT bloom_add(bloom_create(100L, 0.01), 'x') AS f)").first()
+    assert tuple(got) == (1, 0, 1, 959)
+    assert sql(spark, "SELECT hll_cardinality(hll_merge(hll_sketch_agg(id, 14), hll_sketch_agg(id + 500, 14))) AS n FROM range(1000)").first()["n"] == pytest.approx(1500, rel=0.05)
+    from millrace.operators import aggregates
+
+    sketch = spark.range(1001).agg(aggregates.t_digest("id").alias("s"))
+    assert sketch.select(aggregates.t_digest_quantile("s", 0.5).alias("q")).first()["q"] == pytest.approx(500, abs=20)
+
+
+def test_phonetics():
+    from millrace.functions.phonetics import caverphone, metaphone, select, uuid7
+
+    assert metaphone("Thompson") == "0MSN" or metaphone("Thompson") == "0MPSN"
+    assert metaphone("Smith") == "SM0" and metaphone("Knight") == "NT"
+    assert caverphone("") == "1111111111" and caverphone("Thompson") == "TMPSN11111"
+    assert select("<p class='a b'>one <b>two</b></p><p>x</p>", "p.b").found == [["one ", "two"]]
+    assert len(uuid7()) == 36 and uuid7()[14] == "7"
