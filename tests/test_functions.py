@@ -110,6 +110,14 @@ VALUES = [
     ("json_type('{\"a\":[1]}', '$.a')", "array"),
     ("template_render('Hi {{name}}{{#x}}!{{/x}}', '{\"name\":\"<A>\",\"x\":[1,2]}')", "Hi &lt;A&gt;!!"),
     ("unzorder2(zorder2(5, 7), 1)", 7),
+    ("json5_parse('{a: 1, // x\n b: [0x10, +2, .5,], c: \\'q\\',}')", '{"a":1,"b":[16,2,0.5],"c":"q"}'),
+    ("idna_to_ascii('bücher.example')", "xn--bcher-kva.example"),
+    ("lower(hex(hkdf_sha256(unhex('0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b'), unhex('000102030405060708090a0b0c'), unhex('f0f1f2f3f4f5f6f7f8f9'), 42)))", "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865"),
+    ("utm_encode(40.7128, -74.006)", "18N 583959.37 4507351.00"),
+    ("json_object('a', 1, 'b', 2)", '{"a":1,"b":2}'),
+    ("array_slice(array(1, 2, 3, 4, 5), 2, 4)", [2.0, 3.0, 4.0]),
+    ("unzorder(zorder(5, 7), 2, 0)", 5),
+    ("string(aes_gcm_decrypt(binary('0123456789abcdef'), aes_gcm_encrypt(binary('0123456789abcdef'), binary('hi'), binary('123456789012')), binary('123456789012')))", "hi"),
     ("bar(10, 0, 10, 5)", "█████"),
     ("even(3)", 4.0),
     ("math_gamma(5)", 24.0),
