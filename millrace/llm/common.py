@@ -95,6 +95,17 @@ def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[],
     return src.mapInArrow(run, schema)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., and what each name became: nothing an operator adds can clash."""
+    names = {n: f"c{i}" for i, n in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like`, under their names, of a frame made from renamed(like)."""
+    return df.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(like.columns)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no label or statistic may be learned from; a null id counts as held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns, bounded_sample, held_out, quoted, slices, written
+from millrace.llm.common import append_columns, bounded_sample, held_out, renamed, restored, slices, written
 
 MAX_LABELLED = 8000
 FEATURES = 256 + 3
@@ -196,16 +196,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = DOMAIN) -> DataFrame:
-    """docs with each row as often as its rate says; the columns are those of docs.
-
-    Columns of docs named n_tokens, posterior, rate or _copies are not allowed, since they would be overwritten.
-    """
-    if clash := {"n_tokens", "posterior", "rate", "_copies"} & set(docs.columns):
-        raise ValueError(f"columns in use: {sorted(clash)}")
+    """docs with each row as often as its rate says; the columns are those of docs, whatever their names."""
     model = fit(docs, labels, domain=domain)
-    columns = docs.columns
+    rows, name = renamed(docs)
     members = written(memberships(docs.select("text"), model).select("n_tokens", "posterior"))
     steps, shrink, _ = fit_rates(members, model.domains, targets or TARGETS)
-    made = rated(memberships(docs, model), steps, shrink, len(model.domains))
-    rows = made.withColumn("_copies", copies(F.col("rate"), F.col("doc_id"), F.col("text"))).where("_copies > 0").select(*(F.col(quoted(c)) for c in columns), F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return rows.select(*(F.col(quoted(c)) for c in columns))
+    made = rated(memberships(rows, model, name["text"]), steps, shrink, len(model.domains))
+    made = made.withColumn("copies", copies(F.col("rate"), F.col(name["doc_id"]), F.col(name["text"]))).where("copies > 0")
+    return restored(made.select(*rows.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")), docs)

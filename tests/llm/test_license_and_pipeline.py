@@ -47,6 +47,16 @@ def test_pipeline_stages(spark):
     assert last.count() == docs.count() and "n_tokens" in last.columns
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    docs = read(spark, FOLDER, "documents").limit(60)
+    names = ("score", "predicted", "lang_pred", "rate", "copies", "n_tokens", "posterior", "kept", "id", "c1", "a.b")
+    wide = docs.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, wide, FOLDER)
+        assert out.columns == wide.columns and out.count() > 0
+        assert out.where(" OR ".join(f"`{n}` <> concat('{n} ', doc_id)" for n in names)).count() == 0
+
+
 def test_of_copies_one_stays(spark):
     base = " ".join(f"w{i}" for i in range(200))
     docs = documents(spark, [base, base, "another text that stands alone here", base, None])
