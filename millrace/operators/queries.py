@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from millrace.operators import aggregates as A
 from millrace.operators import generators as G
 from millrace.operators import relational as R
 from millrace.operators import windows as W
-from millrace.session import table, views
+from millrace.session import TABLES, table, views
 
 #: name -> (Spark SQL, DuckDB SQL); one text where both engines take it.
 SQL: dict[str, tuple[str, str] | str] = {
@@ -179,7 +180,7 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 
 def _sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir)
+        views(spark, sf_dir, tuple(t for t in TABLES if re.search(rf"\b{t}\b", text)))
         return spark.sql(text)
 
     return run

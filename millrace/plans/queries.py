@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from millrace.functions.registry import install, sql
 from millrace.operators import search
 from millrace.plans import frontends
-from millrace.session import table, views
+from millrace.session import TABLES, table, views
 
 
 def _text(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir)
+        views(spark, sf_dir, tuple(t for t in TABLES if re.search(rf"\b{t}\b", text)))
         return frontends.run(spark, text)
 
     return run
