@@ -29,6 +29,8 @@ SEED = 42
 LIMIT = 4096
 DISTANCE = 3
 PART = 1 << 15
+BLOCK = 256
+BLOCK_BYTES = 1 << 23
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -265,13 +267,82 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def likeness_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, prints: int = 4, limit: int = LIMIT) -> DataFrame:
+def closing_links(labels: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Positions of verified pairs that, with the labels' own unions, join all pairs of these sets at `least` likeness.
+
+    A breadth-first search: each set reached is tested against all that are not, so only pairs of sets that are joined
+    already go untested.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(sets)), size)
+    mark = np.zeros(len(code) + 1, bool)
+    left, out = np.ones(len(sets), bool), []
+    while left.any():
+        edge = np.flatnonzero(left & (labels == labels[left.argmax()])).tolist()
+        left[edge] = False
+        flat = left[owner]
+        rest_code, rest_owner = code[flat], owner[flat]
+        while edge and left.any():
+            e = edge.pop()
+            own = code[ends[e] - size[e] : ends[e]]
+            mark[own] = True
+            both = np.bincount(rest_owner[mark[rest_code]], minlength=len(sets))
+            mark[own] = False
+            either = size + size[e] - both
+            ok = left & (np.where(either, both / np.maximum(either, 1), 1.0) >= least)
+            if ok.any():
+                new = np.flatnonzero(ok)
+                out += [(e, v) for v in new.tolist()]
+                new = np.flatnonzero(left & np.isin(labels, labels[new]))
+                left[new] = False
+                edge += new.tolist()
+                flat = left[rest_owner]
+                rest_code, rest_owner = rest_code[flat], rest_owner[flat]
+    return out
+
+
+def _untested_links(pairs: DataFrame, sure: DataFrame, sets: DataFrame, least: float, n: int, block: int, block_bytes: int) -> DataFrame | None:
+    """(u, v): the verified pairs that star candidates miss, or None where there can be none.
+
+    pairs: the candidates (u, v), whose closure has every pair of the index lists; sure: those verified; sets: (id, s).
+    A closed class of candidates whose members are not all joined yet is dealt into blocks of about `block` members and
+    `block_bytes` bytes, and every two blocks meet in a unit, so that every pair of the class is joined or tested.
+    """
+    classes = written(components(pairs, "u", "v", rows=n).coalesce(parts(n))).select(F.col("node").alias("id"), F.col("root").alias("class"))
+    labels = components(sure, "u", "v", rows=n).select(F.col("node").alias("id"), F.col("root").alias("label"))
+    members = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(sets.select("id", F.length("s").alias("bytes")), "id")
+    members = written(members.coalesce(parts(n)))
+    per = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("label").alias("l"), F.max("label").alias("m")).where("n > 2 AND l <> m")
+    per = written(per.select("class", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int").alias("blocks")).coalesce(1))
+    if not per.take(1):
+        return None
+    own = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int")
+    dealt = members.join(per, "class").select("id", "class", "label", "blocks", own.alias("own"))
+    # With one block a class is one unit; else each block meets each other one, and its own pairs meet there as well.
+    other = F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE filter(sequence(0, blocks - 1), x -> x <> own) END"))
+    dealt = dealt.withColumn("other", other).select("id", "class", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def test(table: pa.Table) -> pa.Table:
+        ids, labels = np.asarray(table.column("id").combine_chunks()), np.asarray(table.column("label").combine_chunks())
+        got = closing_links(labels, [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()], least)
+        a, b = (np.array([p[i] for p in got], np.int64) for i in (0, 1))
+        return pa.table({"u": ids[a], "v": ids[b]})
+
+    units = dealt.join(sets, "id").select("id", "class", "label", "i", "j", "s")
+    return written(units.groupBy("class", "i", "j").applyInArrow(test, "u long, v long"))
+
+
+def likeness_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, prints: int = 4, limit: int = LIMIT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, component_id) for the least doc_id of each distinct text: groups of texts at a shingle likeness of `least`.
 
     Candidates are the links that the byte-position index gives for any of several fingerprints of a text's word set,
     which an edit moves less than a fingerprint of shingles; each candidate pair is verified by the exact Jaccard
-    likeness of its shingle sets.  Links of an index list run to the list's least fingerprint, so a large group gives
-    as many candidates as it has members, never all pairs.  Null texts count as empty; ids that are null are left out.
+    likeness of its shingle sets.  Links of an index list run to the list's least fingerprint; where such a link fails the
+    test, the other pairs of its closed class of candidates are tested too, block by block, but for those joined already.
+    So no two texts that a fingerprint brings together stay apart at a likeness of `least`.  Null texts count as empty;
+    ids that are null are left out.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("id").isNotNull())
 
@@ -310,6 +381,9 @@ def likeness_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     sets = rows.join(wanted, rows["id"] == wanted["w"]).select("id", "text").mapInArrow(cut, "id long, s binary").dropDuplicates(["id"])
     sets = written(sets)
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
-    sure = both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long")
+    sure = written(both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"))
+    more = _untested_links(pairs, sure, sets, least, n, block, block_bytes)
+    if more is not None:
+        sure = sure.unionAll(more)
     root = components(sure, "u", "v", rows=n)
     return reps.join(root, reps["id"] == root["node"], "left").select("id", F.coalesce("root", "id").alias("component_id"))

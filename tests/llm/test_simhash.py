@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -120,6 +121,45 @@ def test_likeness_groups_find_what_all_pairs_find(spark):
     assert rows(simhash.likeness_groups(df.limit(0))) == []
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 40])
+def test_large_groups_of_edited_copies_keep_their_links(spark, block):
+    rnd = random.Random(5)
+    texts = []
+    for g in range(2):
+        base = [f"g{g}w{rnd.randrange(900)}" for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(300):
+            copy = list(base)
+            for _ in range(rnd.randrange(1, 7)):
+                copy[rnd.randrange(300)] = f"new{rnd.random()}"
+            texts.append(" ".join(copy))
+    got = {r["id"]: r["component_id"] for r in simhash.likeness_groups(documents(spark, texts), block=block).collect()}
+    prints = [simhash.word_prints(t, 4) for t in texts]
+    sets = [simhash.shingles(t, 5) for t in texts]
+
+    def near(a, b):
+        return a // 301 == b // 301 and any(((x ^ y) & (1 << 64) - 1).bit_count() <= 3 for x, y in zip(prints[a], prints[b], strict=True)) and simhash.jaccard(sets[a], sets[b]) >= 0.8
+
+    want = groups(range(len(texts)), near)
+    assert max(map(len, want)) > 100
+    for g in want:
+        assert len({got[i] for i in g}) == 1
+    for g in groups(range(len(texts)), lambda a, b: got[a] == got[b]):
+        if len(g) > 1:  # nothing is joined that no pair at the likeness joins
+            assert all(any(a != b and simhash.jaccard(sets[a], sets[b]) >= 0.8 for b in g) for a in g)
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_closing_links_join_what_all_pairs_join(joined):
+    rnd = random.Random(6)
+    sets = [np.unique(np.array([rnd.randrange(12) for _ in range(rnd.randrange(9))], np.uint64)) for _ in range(120)]
+    labels = np.array([i - i % 7 if joined else i for i in range(120)])
+    got = simhash.closing_links(labels, sets, 0.8)
+    near = {(a, b) for a, b in got}
+    assert all(simhash.jaccard(sets[a], sets[b]) >= 0.8 for a, b in near)
+    assert groups(range(120), lambda a, b: labels[a] == labels[b] or (a, b) in near or (b, a) in near) == groups(range(120), lambda a, b: labels[a] == labels[b] or simhash.jaccard(sets[a], sets[b]) >= 0.8)
+
+
 def test_jaccard():
     a, b = simhash.shingles("a b c d e f g", 5), simhash.shingles("a b c d e f h", 5)
     assert len(a) == 3 and simhash.jaccard(a, b) == 2 / 4 and simhash.jaccard(a, a) == 1
