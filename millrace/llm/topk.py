@@ -146,11 +146,13 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", ve
     Queries are the rows whose id is divisible by `every`; candidates are all rows of another id.  Ties go to the smaller
     vec_id.  Null vectors, vectors with null or non-finite components and rows with a null id take no part; a shorter
     vector counts as filled with zeros.  Scores beyond a long are held to its range.  A query id on several rows gives
-    each such row's results once.  An empty table, or one without queries, gives no rows.  Extra columns are not read.
+    each such row's results once.  Repeated candidate rows (same id and vector) count once; a candidate id with several
+    vectors has a score for each.  An empty table, or one without queries, gives no rows.  Extra columns are not read.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
     rows = rows.where(finite(F.col("v")))
+    candidates = _single(rows)
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     edges = _edges(queries, block)
@@ -160,7 +162,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", ve
         for at in range(0, len(part), block):
             some = part[at : at + block]
             held = spark.sparkContext.broadcast((np.array([r[0] for r in some], np.int64), matrix([np.array(r[1], np.float64) for r in some], width)))
-            best = rows.mapInArrow(_scan(held, k), "query_id long, vec_id long, score long").distinct()
+            best = candidates.mapInArrow(_scan(held, k), "query_id long, vec_id long, score long").distinct()
             order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
             best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             found.append(written(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")))
@@ -170,6 +172,18 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", ve
     return reduce(DataFrame.unionAll, found)
 
 
+def _single(rows: DataFrame) -> DataFrame:
+    """rows with each repeated (vec_id, v) once: repeats would take the k places of other rows.
+
+    Only rows of an id that stands more than once are dealt by id and vector; the others stay where they are.
+    """
+    again = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
+    if not again.take(1):
+        return rows
+    again = written(again)
+    return written(rows.join(again, "vec_id", "left_anti").unionAll(rows.join(again, "vec_id", "left_semi").dropDuplicates(["vec_id", "v"])))
+
+
 def _edges(queries: DataFrame, block: int) -> list[tuple[int, int]]:
     """Ranges of ids that hold about half a block of queries each; the driver gets one pair for each range."""
     n, low, high = queries.agg(F.count(F.lit(1)), F.min("vec_id"), F.max("vec_id")).first()

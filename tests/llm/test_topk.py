@@ -45,6 +45,15 @@ def test_few_and_huge(spark):
     assert rows(topk.top_k(frame(spark, big))) == [(0, 1, 1, topk.TOP), (0, 2, 2, topk.LOW)]
 
 
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_repeated_candidate_rows_take_one_place(spark, partitions):
+    rnd = random.Random(4)
+    data = [(i, [rnd.gauss(0, 1) for _ in range(20)]) for i in range(60)]
+    best = brute(data)[0][2]
+    df = spark.createDataFrame([(i, v, 0) for i, v in data + 5 * [data[best]]], SCHEMA).coalesce(partitions)
+    assert rows(topk.top_k(df)) == brute(data)
+
+
 def test_candidates_are_left_out_early():
     rng = np.random.default_rng(1)
     columns = np.round(rng.normal(size=(64, 5000)) * 20) * np.linspace(4, 0.1, 64)[:, None]
