@@ -11,6 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+_OTHER = r"notices?|holders?|owners?|licen[cs]es?|laws?|interests?|statements?|protection|permission|disclaimer"
+#: A whole line of a copyright notice: a year, a sign, a placeholder or a name follows the word, so that a wrapped sentence
+#: ("copyright notice and this ...", "(c) You must ...") stays.  For texts in their own case.
+NOTICE_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:(?i:copyright)\b[^\p{L}\p{N}\n]*(?:\p{N}|(?i:\(c\))|©|[\[<{]|(?i:by|c)\b|(?!(?i:" + _OTHER + r")\b)(?!(?:THE|AND|OR|IN|OF|TO|IS|AS|ON|FOR)\b)\p{Lu})"
+    r"|(?i:\(c\))[^\n]*(?:\p{N}{4}|(?i:copyright)\b(?![^\p{L}\n]*(?i:" + _OTHER + r")\b))|©|(?i:all rights reserved))[^\n]*$"
+)
 #: Equivalent spellings, each as whole words of a canonical form.
 EQUIVALENT = [
     ("licence", "license"),
@@ -81,12 +88,43 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+#: Further whole texts.
+MORE = [("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>")]
+#: Digests of the canonical forms of the whole texts in /usr/share/common-licenses, and of each up to "END OF TERMS AND CONDITIONS".
+FULL = [
+    ("Apache-2.0", "ef9aa6097e8b8724e8bedf9a9a264cbc3142b55ef97f3c3f079b7aa1aeac425c"),
+    ("Apache-2.0", "ed44d69699f98d45c0c3e52ef4574fb05d6045eb6e2cd0e5e3810f6177e87f84"),
+    ("Artistic-1.0-Perl", "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "bd8e32052e49e6b79fccbdd5dc03f7d40e45a8e895e3ecb79394b97961ffb127"),
+    ("GFDL-1.3", "e7579a53c7b8214f091590d94bfe39deb978a080895ca5506448b8baf4f77985"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-1.0", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0"),
+    ("GPL-3.0", "42de4913c0ec220db6e274a84efcdc7a52715762d22943334032232048072bc1"),
+    ("GPL-3.0", "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.0", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-2.1", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13"),
+]
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
-    c = F.lower(F.coalesce(text, F.lit("")))
-    c = F.regexp_replace(c, COPYRIGHT_LINE, "")
+    c = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOTICE_LINE, ""))
     c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in EQUIVALENT:
         # twice, since a match takes the space that a repeated word would need
@@ -97,8 +135,9 @@ def canonical(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """(license_id, digest) of the fixed list; one row per digest."""
-    rows = spark.createDataFrame(KNOWN, "license_id string, license_text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("license_text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    listed = [(i, t, None) for i, t in KNOWN + MORE] + [(i, None, d) for i, d in FULL]
+    rows = spark.createDataFrame(listed, "license_id string, license_text string, digest string")
+    return rows.select("license_id", F.coalesce("digest", F.sha2(canonical(F.col("license_text")), 256)).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +152,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def canonical_sql(text: str) -> str:
-    """canonical() as DuckDB SQL."""
+    """canonical() as DuckDB SQL, with COPYRIGHT_LINE for a notice line: its expressions have no look-ahead."""
     c = f"lower(coalesce({text}, ''))"
     c = f"regexp_replace({c}, '{COPYRIGHT_LINE}', '', 'g')"
     c = f"' ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
@@ -124,6 +163,7 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql() -> str:
+    """scan() as DuckDB SQL, for the texts of KNOWN."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
     return f"""WITH known AS (SELECT min(license_id) AS license_id, sha256({canonical_sql("license_text")}) AS digest FROM (VALUES {rows}) AS k(license_id, license_text) GROUP BY 2),

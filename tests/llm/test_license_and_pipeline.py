@@ -1,4 +1,6 @@
+import pathlib
 import re
+import textwrap
 
 import corpus_pipeline
 import pytest
@@ -23,6 +25,34 @@ def test_every_known_text_is_found(spark):
     assert [r["license_id"] for r in got] == [i for i, _ in license.KNOWN]
 
 
+def test_usual_wrappings(spark):
+    listed = [(i, t) for i, t in license.KNOWN + license.MORE if len(t) > 300]
+    wrapped = [(i, "Copyright 2021 Some One\n\n" + "\n\n".join(textwrap.fill(p, n, break_long_words=False) for p in t.split("\n\n"))) for i, t in listed for n in (20, 40, 60, 64, 72, 76, 79, 80)]
+    assert sum(bool(re.search("(?im)^copyright (notice|holder|owner)", t)) for _, t in wrapped) > 5
+    got = license.scan(documents(spark, [t for _, t in wrapped])).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == [i for i, _ in wrapped]
+
+
+def test_whole_common_texts(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    here = {n: i for n, i in names.items() if (folder / n).exists()}
+    if not here:
+        pytest.skip("the common licences are not installed")
+    texts = [(folder / n).read_text() for n in here]
+    plain = ["\n".join(x.strip() for x in t.split("\n")) for t in texts]
+    got = license.scan(documents(spark, texts + plain + [t[:-200] for t in texts])).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == [*here.values(), *here.values(), *[None] * len(here)]
+
+
+def test_notice_lines(spark):
+    gone = ["Copyright (c) 2020 A", "copyright 2020 a", "Copyright © A", "COPYRIGHT ACME INC", " * Copyright The Authors", "Copyright [yyyy] [name]", "(c) 2020 A", "(c) Copyright A", "© A", "All rights reserved."]
+    stay = ["copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "Copyright Owner means", "copyright license to", "(c) You must retain", "copyright law: that", "copyrighted by the", "COPYRIGHT AND THE", '"Copyright" also means']
+    df = spark.createDataFrame([(t,) for t in gone + stay], "t string")
+    left = [r[0] for r in df.select(F.when(license.canonical(F.col("t")) == "", None).otherwise(F.col("t"))).collect()]
+    assert left == [None] * len(gone) + stay
+
+
 def test_plan_is_native(spark):
     plan = queries.op9_license(spark, FOLDER)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
