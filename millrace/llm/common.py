@@ -15,6 +15,7 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 
 
 SLICE = 512
+SLICE_BYTES = 1 << 23
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def quoted(name: str) -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
 
-    Only where neither the session nor its context has one (a single-machine test) is a local folder set.
+    Only where neither the session nor its context has one, and the session is local (a test), is a local folder set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -36,6 +37,8 @@ def scratch_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -68,10 +71,17 @@ def dropped(df: DataFrame) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of SLICE at most, so that few are ever held as Python objects."""
+    """The same rows in batches of SLICE rows and SLICE_BYTES (or one row) at most, so that few are Python objects at once."""
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+        todo = [b]
+        while todo:
+            b = todo.pop()
+            n = b.num_rows
+            if n > SLICE or n > 1 and b.nbytes > SLICE_BYTES:
+                cut = SLICE if n > SLICE else n // 2
+                todo += [b.slice(cut), b.slice(0, cut)]
+            elif n:
+                yield b
 
 
 def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
@@ -111,6 +121,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
+def one_per_id(rows: DataFrame, key: str, *values: str) -> DataFrame:
+    """One row for each value of the column `key`: that of the least values, so that no layout of the table matters."""
+    return rows.groupBy(key).agg(F.min(F.struct(*values)).alias("least")).select(key, *(F.col(f"least.{v}").alias(v) for v in values))
+
+
 def bounded_sample(df: DataFrame, key: Column, n: int, seed: int = 17) -> DataFrame:
     """At most n rows, chosen by a hash of key: the same rows on every run and however df is partitioned.
 

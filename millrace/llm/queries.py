@@ -72,11 +72,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
-OP4_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-e AS (SELECT vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM e AS a JOIN e AS b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+OP4_SQL = """WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT n, vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v),
+a AS (SELECT e.* FROM e JOIN (SELECT min(n) AS n FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id, q) AS one USING (n)),
+s AS (SELECT a.n AS q, a.vec_id AS query_id, b.n, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM e AS b JOIN a ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 OP5_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -5,8 +5,8 @@ block a candidate's score is bounded by what it has plus the product of the two
 candidates whose bound is under the k-th best score are compacted away.  No candidate that could reach the first k,
 ties included, is dropped.
 
-Queries go in blocks of BLOCK rows: a block is broadcast (its size is fixed), every task scans its candidates against
-it, and the best k of each task and query are merged.  The candidates are never shuffled, and a block's results are
+Queries go in blocks of at most BLOCK rows: a block is broadcast (its size is fixed), every task scans its candidates
+against it, and the best k of each task and query are merged.  The candidates are never shuffled, and a block's results are
 written before the next block starts.
 """
 
@@ -135,7 +135,10 @@ def _scan(held, k: int):
             t = pa.Table.from_batches(parts).combine_chunks()
             take(np.asarray(t.column(0)), matrix(t.column(1).combine_chunks(), width))
         if best:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(v[0]), q_ids[j]) for j, v in best.items()])), pa.array(np.concatenate([v[0] for v in best.values()])), pa.array([int(s) for v in best.values() for s in v[1]], pa.int64())], names=["query_id", "vec_id", "score"])
+            number = np.concatenate([np.full(len(v[0]), j) for j, v in best.items()])
+            found = [number, q_ids[number], np.concatenate([v[0] for v in best.values()])]
+            scores = pa.array([int(s) for v in best.values() for s in v[1]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found), scores], names=["number", "query_id", "vec_id", "score"])
 
     return run
 
@@ -145,53 +148,29 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", ve
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows of another id.  Ties go to the smaller
     vec_id.  Null vectors, vectors with null or non-finite components and rows with a null id take no part; a shorter
-    vector counts as filled with zeros.  Scores beyond a long are held to its range.  A query id on several rows gives
-    each such row's results once.  Repeated candidate rows (same id and vector) count once; a candidate id with several
-    vectors has a score for each.  An empty table, or one without queries, gives no rows.  Extra columns are not read.
+    vector counts as filled with zeros.  Scores beyond a long are held to its range.  Every candidate row counts, so a
+    repeated row can take several ranks.  Repeated query rows (same id and vector) are one query; an id with several
+    vectors is a query for each of them.  An empty table, or one without queries, gives no rows.  Extra columns are not
+    read.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
     rows = rows.where(finite(F.col("v")))
-    candidates = _single(rows)
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    edges = _edges(queries, block)
+    queries = written(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]))
+    n, width = queries.count(), rows.agg(F.max(F.size("v"))).first()[0] or 0
+    # About half a block each, dealt by a hash of the whole row, so that an id of many vectors is spread as well.
+    blocks = -(-2 * n // block) if n > block else 1
     found = []
-    for low, high in edges:
-        part = queries.where((F.col("vec_id") >= low) & (F.col("vec_id") <= high)).orderBy("vec_id").collect()
+    for i in range(blocks if n else 0):
+        part = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == i).collect()
         for at in range(0, len(part), block):
             some = part[at : at + block]
             held = spark.sparkContext.broadcast((np.array([r[0] for r in some], np.int64), matrix([np.array(r[1], np.float64) for r in some], width)))
-            best = candidates.mapInArrow(_scan(held, k), "query_id long, vec_id long, score long").distinct()
-            order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            best = rows.mapInArrow(_scan(held, k), "number long, query_id long, vec_id long, score long")
+            order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
             best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             found.append(written(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")))
             held.destroy()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return reduce(DataFrame.unionAll, found)
-
-
-def _single(rows: DataFrame) -> DataFrame:
-    """rows with each repeated (vec_id, v) once: repeats would take the k places of other rows.
-
-    Only rows of an id that stands more than once are dealt by id and vector; the others stay where they are.
-    """
-    again = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
-    if not again.take(1):
-        return rows
-    again = written(again)
-    return written(rows.join(again, "vec_id", "left_anti").unionAll(rows.join(again, "vec_id", "left_semi").dropDuplicates(["vec_id", "v"])))
-
-
-def _edges(queries: DataFrame, block: int) -> list[tuple[int, int]]:
-    """Ranges of ids that hold about half a block of queries each; the driver gets one pair for each range."""
-    n, low, high = queries.agg(F.count(F.lit(1)), F.min("vec_id"), F.max("vec_id")).first()
-    if not n:
-        return []
-    parts = max(1, -(-2 * n // block)) if n > block else 1
-    if parts == 1:
-        return [(low, high)]
-    cuts = queries.agg(F.percentile_approx("vec_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    cuts = sorted({low, *(c + 1 for c in cuts if c < high)})
-    return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], high + 1], strict=True)]

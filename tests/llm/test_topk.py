@@ -46,12 +46,22 @@ def test_few_and_huge(spark):
 
 
 @pytest.mark.parametrize("partitions", [1, 3])
-def test_repeated_candidate_rows_take_one_place(spark, partitions):
+def test_repeated_candidate_rows_count_each(spark, partitions):
     rnd = random.Random(4)
     data = [(i, [rnd.gauss(0, 1) for _ in range(20)]) for i in range(60)]
     best = brute(data)[0][2]
-    df = spark.createDataFrame([(i, v, 0) for i, v in data + 5 * [data[best]]], SCHEMA).coalesce(partitions)
-    assert rows(topk.top_k(df)) == brute(data)
+    for n in (3, 5):
+        more = data + n * [data[best]]
+        assert rows(topk.top_k(spark.createDataFrame([(i, v, 0) for i, v in more], SCHEMA).coalesce(partitions))) == brute(more)
+    small = spark.createDataFrame([(i, [1.0], 0) for i in (0, *[1] * 6, *range(2, 8))], SCHEMA).coalesce(partitions)
+    assert [r[2] for r in rows(topk.top_k(small))] == [1] * 5
+
+
+def test_an_id_of_several_vectors(spark):
+    rnd = random.Random(9)
+    data = [(i, [rnd.gauss(0, 1) for _ in range(20)]) for i in range(40)]
+    more = [*data, (0, [rnd.gauss(0, 1) for _ in range(20)]), data[0]]  # two queries of one id, one of them twice
+    assert rows(topk.top_k(frame(spark, more))) == brute(more[:-1])
 
 
 def test_candidates_are_left_out_early():
