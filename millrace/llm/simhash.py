@@ -14,13 +14,12 @@ pairs, and components are found by alternating large and small stars (Kiveris et
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import append_columns, dropped, parts, slices, written
@@ -334,28 +333,33 @@ def _untested_links(pairs: DataFrame, sure: DataFrame, sets: DataFrame, least: f
     return written(units.groupBy("class", "i", "j").applyInArrow(test, "u long, v long"))
 
 
+def text_key(text: Column) -> Column:
+    """What stands for a whole text where rows of one id can differ: its SHA-256; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def likeness_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, prints: int = 4, limit: int = LIMIT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, component_id) for the least doc_id of each distinct text: groups of texts at a shingle likeness of `least`.
+    """(id, key, component_id, first) of each distinct text: groups of texts at a shingle likeness of `least`.
+
+    id: the text's least doc_id; key: text_key(); component_id: the group's least id; first: whether the text stands for
+    its group (least id, then least key, where one id has several texts).
 
     Candidates are the links that the byte-position index gives for any of several fingerprints of a text's word set,
     which an edit moves less than a fingerprint of shingles; each candidate pair is verified by the exact Jaccard
     likeness of its shingle sets.  Links of an index list run to the list's least fingerprint; where such a link fails the
     test, the other pairs of its closed class of candidates are tested too, block by block, but for those joined already.
     So no two texts that a fingerprint brings together stay apart at a likeness of `least`.  Null texts count as empty;
-    ids that are null are left out.
+    rows of null id are left out.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("id").isNotNull())
+    rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("doc").isNotNull())
+    rows = rows.withColumn("key", text_key(F.col("text")))
 
     def factory():
-        def run(b):
-            texts = b.column(1).to_pylist()
-            return [[hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts], [word_prints(t, prints) for t in texts]]
-
-        return run
+        return lambda b: [[word_prints(t, prints) for t in b.column(1).to_pylist()]]
 
-    made = append_columns(rows, {"key": "binary", "sig": "array<long>"}, factory).select("id", "key", "sig")
-    reps = made.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).select("id", "sig")
-    reps = written(reps)
+    made = append_columns(rows, {"sig": "array<long>"}, factory).select("doc", "key", "sig")
+    reps = made.groupBy("key").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("id"), "doc", "key", "sig"))
     n, pairs = reps.count(), []
     for j in range(prints):
         own = reps.select("id", F.col("sig")[j].alias("fp"))
@@ -377,8 +381,8 @@ def likeness_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             ok = pa.array([jaccard(x, y) >= least for x, y in zip(a, c, strict=True)], pa.bool_())
             yield b.select(["u", "v"]).filter(ok)
 
-    wanted = pairs.select(F.col("u").alias("w")).unionAll(pairs.select("v")).distinct()
-    sets = rows.join(wanted, rows["id"] == wanted["w"]).select("id", "text").mapInArrow(cut, "id long, s binary").dropDuplicates(["id"])
+    wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct().join(reps.select("id", "doc", "key"), "id")
+    sets = rows.join(wanted, ["doc", "key"]).select("id", "text").mapInArrow(cut, "id long, s binary").dropDuplicates(["id"])
     sets = written(sets)
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     sure = written(both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"))
@@ -386,4 +390,7 @@ def likeness_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     if more is not None:
         sure = sure.unionAll(more)
     root = components(sure, "u", "v", rows=n)
-    return reps.join(root, reps["id"] == root["node"], "left").select("id", F.coalesce("root", "id").alias("component_id"))
+    named = reps.join(root, reps["id"] == root["node"], "left").select("doc", "key", F.coalesce("root", "id").alias("root"))
+    heads = named.groupBy("root").agg(F.min(F.struct("doc", "key")).alias("head"))
+    first = (F.col("doc") == F.col("head.doc")) & (F.col("key") == F.col("head.key"))
+    return named.join(heads, "root").select(F.col("doc").alias("id"), "key", F.col("head.doc").alias("component_id"), first.alias("first"))

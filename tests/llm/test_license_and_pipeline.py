@@ -95,5 +95,14 @@ def test_of_copies_one_stays(spark):
     assert sorted(kept, key=str) == [0, 2, 4, None]
 
 
+def test_no_text_of_a_shared_id_goes(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    data = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "w"), (5, b, None), (7, b, "x")]
+    for part in (1, 4):
+        docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(part)
+        kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()]
+        assert sorted(kept) == [(3, a, "x"), (5, b, "w")]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0

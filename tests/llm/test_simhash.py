@@ -121,6 +121,32 @@ def test_likeness_groups_find_what_all_pairs_find(spark):
     assert rows(simhash.likeness_groups(df.limit(0))) == []
 
 
+def test_recall_as_shipped(spark):
+    """Of 700 pairs of texts of 60 to 900 words at a likeness of 0.8 or more, at least 0.95 are joined, and no others."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(3000)]
+    texts = []
+    while len(texts) < 1400:
+        a = rnd.choices(words, [1 / (i + 3) for i in range(3000)], k=rnd.randrange(60, 900))
+        b = list(a)
+        for _ in range(rnd.randrange(1, 2 + len(a) // 45)):
+            i = rnd.randrange(len(b))
+            b[i : i + rnd.randrange(2)] = rnd.choices(words, k=rnd.randrange(2))
+        s, t = " ".join(a), " ".join(b)
+        if s != t and simhash.jaccard(simhash.shingles(s, 5), simhash.shingles(t, 5)) >= 0.8:
+            texts += [s, t]
+    got = {r["id"]: r["component_id"] for r in simhash.likeness_groups(documents(spark, texts)).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 1400, 2)) / 700 >= 0.95
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
+def test_an_id_of_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    df = documents(spark, [b, a, a, b]).selectExpr("CASE WHEN doc_id = 0 THEN 5 WHEN doc_id = 1 THEN 3 ELSE 5 END AS doc_id", "text")
+    got = rows(simhash.likeness_groups(df).select("id", "component_id", "first"))
+    assert got == [(3, 3, True), (5, 5, True)]
+
+
 @pytest.mark.parametrize("block", [simhash.BLOCK, 40])
 def test_large_groups_of_edited_copies_keep_their_links(spark, block):
     rnd = random.Random(5)
