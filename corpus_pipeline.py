@@ -29,14 +29,16 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts at a likeness of 0.8 over shingles of five words, the document of the least id stays, once.
+    """Of each group of texts at a likeness of 0.8 over shingles of five words, the text of the least id stays, once.
 
-    Candidates come from op 8's index.  A row of null id stays: no group has it for its representative.
+    Candidates come from op 8's index.  An id with several texts is a document for each text.  Of rows of one id and text
+    that differ in other columns, that of the least JSON form stays.  A row of null id stays: no group has it for its head.
     """
-    groups = simhash.likeness_groups(docs, width=5, least=0.8)
-    kept = groups.where("id = component_id").select(F.col("id").alias("kept"))
+    heads = simhash.likeness_groups(docs, width=5, least=0.8).where("first").select(F.col("id").alias("kept"), F.col("key").alias("digest"))
     rows, name = renamed(docs)
-    named = rows.join(kept, rows[name["doc_id"]] == kept["kept"]).select(*rows.columns).dropDuplicates([name["doc_id"]])
+    whole = F.struct(*rows.columns)
+    same = (F.col(name["doc_id"]).cast("long") == F.col("kept")) & (simhash.text_key(F.col(name["text"])) == F.col("digest"))
+    named = rows.join(heads, same).groupBy("kept", "digest").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
     return restored(named.unionAll(rows.where(F.col(name["doc_id"]).isNull())), docs)
 
 
