@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
 
 
+SEED = 17
 SLICE = 512
 SLICE_BYTES = 1 << 23
 
@@ -126,13 +127,18 @@ def one_per_id(rows: DataFrame, key: str, *values: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.struct(*values)).alias("least")).select(key, *(F.col(f"least.{v}").alias(v) for v in values))
 
 
-def bounded_sample(df: DataFrame, key: Column, n: int, seed: int = 17) -> DataFrame:
-    """At most n rows, chosen by a hash of key: the same rows on every run and however df is partitioned.
+def near(key: Column, share: float | Column) -> Column:
+    """True for about `share` of all values of the key, by a hash of it: the same on every run and in every layout."""
+    return F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * share
 
-    A hash threshold from the row count leaves about 1.2 n rows before the ordered cut, so no task sorts more.
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n values of the column `key`, one row each, chosen by a hash: the same however df is partitioned.
+
+    A hash threshold from the (approximate) number of different values leaves about 1.2 n of them before the ordered cut,
+    so no task sorts more, and a value that is repeated neither starves the sample nor fills it.
     """
-    total = df.count()
-    h = F.xxhash64(key, F.lit(seed))
+    total = df.agg(F.approx_count_distinct(key, 0.02)).first()[0]
     if total > n:
-        df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, (1.2 * n + 200) / total)))
-    return df.orderBy(h, key).limit(n)
+        df = df.where(near(F.col(key), min(1.0, (1.2 * n + 200) / total)))
+    return df.select(key).distinct().orderBy(F.xxhash64(key, F.lit(SEED)), key).limit(n)

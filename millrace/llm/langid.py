@@ -4,29 +4,29 @@ Features are n-grams of 1 to 3 code points of the lower-cased text, hashed to 2*
 and scaled to length 1.  FTRL-proximal (McMahan et al. 2013) fits the weights under an elastic net (l1 and l2); a
 temperature fitted on a part kept out of training then calibrates the probabilities (Guo et al. 2017).
 
-The classifier, its idf included, is fitted on a bounded sample (MAX_DOCUMENTS of at most MAX_CHARS code points each);
-prediction covers every whole text.
+Document frequencies are counted over all documents that may be learned from; the weights are fitted on a bounded sample
+of whole texts (MAX_DOCUMENTS, shared out over the languages); prediction covers every whole text.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns, bounded_sample, held_out, slices
+from millrace.llm.common import SEED, append_columns, held_out, near, one_per_id, slices
 
 BITS = 14
 SLOTS = 1 << BITS
 CHUNK = 1 << 20
 MAX_DOCUMENTS = 4000
-MAX_CHARS = 20_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter in the sense of Unicode's general categories L*; numerals such as a half or a Roman eight are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -83,13 +83,15 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, calibrate: float = 0.2) -> LanguageModel:
-    """Fit to (slots, counts, label) rows.  No rows give a model that knows no label; one label is always predicted."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], frequency: np.ndarray | None = None, documents: int = 0, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, calibrate: float = 0.2) -> LanguageModel:
+    """Fit to (slots, counts, label) rows.  No rows give a model that knows no label; one label is always predicted.
+
+    frequency: by slot, in how many of `documents` documents it occurs (default: those of the rows).
+    """
     labels = sorted({y for _, _, y in rows})
-    df = np.zeros(SLOTS)
-    for at, _, _ in rows:
-        df[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if frequency is None:
+        frequency, documents = np.bincount(np.concatenate([at for at, _, _ in rows] or [np.zeros(0, np.int64)]), minlength=SLOTS), len(rows)
+    idf = np.log((1 + documents) / (1 + frequency)) + 1
     k, rng = len(labels), np.random.default_rng(5)
     model = LanguageModel(labels, idf, np.zeros((SLOTS, k)), np.zeros(k))
     if k < 2:
@@ -137,19 +139,56 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "slots", "counts"])
 
 
-def fit(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_chars: int = MAX_CHARS) -> LanguageModel:
-    """Learn from doc_id, text and non-null lang of rows that are not held out.
+def _frequencies(batches):
+    """In how many of a task's texts each slot occurs; slot -1 counts the texts."""
+    found, n = np.zeros(SLOTS, np.int64), 0
+    for b in slices(batches):
+        for text in b.column(0).to_pylist():
+            found += counts(text) > 0
+            n += 1
+    at = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], names=["slot", "n"])
+
+
+def quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
+    """n shared out over labels: the same for each, and what a label has too few documents for goes to the others."""
+    out, left = {}, n
+    for i, y in enumerate(sorted(sizes, key=lambda y: (sizes[y], y))):
+        out[y] = min(sizes[y], max(1, left // (len(sizes) - i)))
+        left -= out[y]
+    return out
+
+
+def _sample(can: DataFrame, n: int) -> DataFrame:
+    """(id, lang) of at most n documents (or one of each language), chosen by a hash; an id has the least of its languages."""
+    sizes = {r[0]: r[1] for r in can.groupBy("lang").agg(F.approx_count_distinct("id", 0.02)).collect()}
+    share = quotas(sizes, n)
+    if not share:
+        return can.select("id", "lang").limit(0)
+    limits = can.sparkSession.createDataFrame([(y, share[y], min(1.0, (1.2 * share[y] + 200) / sizes[y])) for y in share], "lang string, quota int, share double")
+    some = can.select("id", "lang").join(F.broadcast(limits), "lang").where(near(F.col("id"), F.col("share")))
+    some = some.groupBy("id").agg(F.min(F.struct("lang", "quota")).alias("least")).select("id", "least.*")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(SEED)), "id")
+    return some.withColumn("rank", F.row_number().over(order)).where("rank <= quota").select("id", "lang")
+
+
+def fit(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LanguageModel:
+    """Learn from doc_id, text and non-null lang of rows that are not held out and have a letter.
 
-    The sample's ids are chosen first, from narrow columns; what comes to the driver is max_documents sparse count
-    vectors of at most SLOTS entries.
+    The idf is that of all such rows.  The sample's ids are chosen from narrow columns; a repeated id counts once there,
+    with its least text.  To the driver come SLOTS counts and max_documents sparse count vectors of at most SLOTS entries.
     """
-    can = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= max_chars))
-    chosen = bounded_sample(can.select(F.col("doc_id").alias("id")), F.col("id"), max_documents).distinct()
-    rows = can.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "lang")
-    got = rows.where(F.col("text").rlike(r"\p{L}")).mapInArrow(_features, "lang string, slots binary, counts binary").collect()
+    can = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang")
+    seen = {r[0]: r[1] for r in can.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()}
+    frequency = np.zeros(SLOTS)
+    for slot, n in seen.items():
+        if slot >= 0:
+            frequency[slot] = n
+    rows = one_per_id(can.join(F.broadcast(_sample(can, max_documents)), ["id", "lang"]), "id", "text", "lang").select("text", "lang")
+    got = rows.mapInArrow(_features, "lang string, slots binary, counts binary").collect()
     made = [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["counts"], np.int32), r["lang"]) for r in got]
     made.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))  # the same order however the rows came
-    return train(made[:max_documents])
+    return train(made, frequency, seen.get(-1, 0))
 
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:

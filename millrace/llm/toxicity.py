@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import append_columns, bounded_sample, held_out, slices, written
+from millrace.llm.common import append_columns, bounded_sample, held_out, one_per_id, slices, written
 
 WORD = re.compile(r"\w+")
 MAX_LABELLED = 20_000
-MAX_VOCABULARY = 50_000
+FLUSH = 1 << 18
 
 
 @dataclass
@@ -121,93 +122,95 @@ def _contexts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["word", "toxic", "context"])
 
 
-SKETCH = 4
-
-
-def _sketched(batches):
-    """text and toxic with SKETCH min-hashes of the text's three-word shingles."""
-    for b in slices(batches):
-        rows = []
-        for text in b.column(0).to_pylist():
-            words = WORD.findall((text or "").lower())
-            got = np.fromiter((hash_pair(a + "\0" + w, c) for a, w, c in zip(["", *words], words, [*words[1:], ""], strict=True)), np.uint64, len(words))
-            # Odd multipliers give an order of its own to each min-hash.
-            rows.append([int((got * np.uint64(m) & np.uint64(0xFFFFFFFF)).min(initial=0xFFFFFFFF)) for m in (1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(SKETCH))], names=["text", "toxic", *(f"m{i}" for i in range(SKETCH))])
-
-
 def hash_pair(a: str, b: str) -> int:
     return zlib.crc32(b.encode(), zlib.crc32(a.encode() + b"\0"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of at most n labelled texts outside the held-out rows.  Of texts of one label that share
-    a min-hash one stays, so families of copies, edited ones too, count about once.
+    """(text, toxic) of at most n labelled ids outside the held-out rows; equal texts of one label are one row.
 
-    The ids are chosen from the labels alone, so the broadcast side holds n rows at most.
+    The ids are chosen from the labels alone, so the broadcast side holds n rows at most.  A repeated id counts once, with
+    its greatest label and its least text.
     """
-    ids = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    ids = bounded_sample(ids, F.col("id"), n)
-    found = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    schema = "text string, toxic int, " + ", ".join(f"m{i} long" for i in range(SKETCH))
-    rows = found.select("text", F.col("label").alias("toxic")).mapInArrow(_sketched, schema)
-    for i in range(SKETCH):
-        rows = rows.dropDuplicates([f"m{i}", "toxic"])
-    return rows.select("text", "toxic")
+    ids = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    ids = ids.join(F.broadcast(bounded_sample(ids, "id", n)), "id")
+    found = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    return one_per_id(found, "id", "text", "toxic").select("text", "toxic").distinct()
+
+
+def _frequencies(batches):
+    """(word, n): in how many of a task's texts a word occurs, in parts of at most FLUSH words or so."""
+    found: Counter[str] = Counter()
+
+    def part():
+        made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+        found.clear()
+        return made
+
+    for b in slices(batches):
+        for text in b.column(0).to_pylist():
+            found.update(set(WORD.findall((text or "").lower())))
+            if len(found) > FLUSH:
+                yield part()
+    yield part()
 
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED, z: float = 3.0, prior: float = 0.1, min_texts: int = 5) -> ToxicityModel:
     """Learn from at most n labelled texts (see labelled()); without toxic or without clean texts no word is toxic.
 
-    docs: doc_id, text.  labels: doc_id, toxic (0 or 1; null rows are left out).  The vocabulary that reaches the driver
-    is bounded by MAX_VOCABULARY words of at least min_texts counts.  prior: strength of the Dirichlet prior, as a share
-    of all counts; its shape is that of all labelled texts.
+    docs: doc_id, text.  labels: doc_id, toxic (0 or 1; null rows are left out).  prior: strength of the Dirichlet prior,
+    as a share of all counts; its shape is that of the words of all documents, which are counted without their labels.
+    Only words whose log-odds are proven (|d| >= z sigma over at least min_texts counts) reach the driver.
     """
     sample = written(labelled(docs, labels, n))
-    counts = sample.mapInArrow(_contexts, "word string, toxic int, context long").distinct().groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("y1"), F.sum(1 - F.col("toxic").cast("long")).alias("y0"))
+    toxic = F.col("toxic").cast("long")
+    counts = sample.mapInArrow(_contexts, "word string, toxic int, context long").distinct().groupBy("word").agg(F.sum(toxic).alias("y1"), F.sum(1 - toxic).alias("y0"))
     counts = written(counts)
     n1, n0 = counts.agg(F.sum("y1"), F.sum("y0")).first()
-    top = counts.where(F.col("y1") + F.col("y0") >= min_texts).orderBy(F.desc("y1"), F.desc("y0"), "word").limit(MAX_VOCABULARY).collect()
     model = ToxicityModel()
     if not n1 or not n0:
         return model
+    corpus = written(docs.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    whole = corpus.agg(F.sum("n")).first()[0]
+    share = prior * (n1 + n0)
+    a, y1, y0 = F.col("n") * F.lit(share / whole), F.col("y1"), F.col("y0")  # a: the prior's counts of the word
+    odds = lambda y, all_: F.log((y + a) / (F.lit(float(all_ + share)) - y - a))
+    proven = counts.where(y1 + y0 >= min_texts).join(corpus, "word").withColumn("d", odds(y1, n1) - odds(y0, n0)).withColumn("sigma", F.sqrt(1 / (y1 + a) + 1 / (y0 + a)))
+    proven = proven.where(F.abs("d") >= z * F.col("sigma")).select("word", "y1", "y0", a.alias("a"), "d", "sigma").collect()
     weights, other1, other0, p = {}, float(n1), float(n0), []
-    prior *= n1 + n0
-    for w, y1, y0 in top:
-        a = prior * (y1 + y0) / (n1 + n0)  # the prior's counts of the word
-        d = math.log((y1 + a) / (n1 + prior - y1 - a)) - math.log((y0 + a) / (n0 + prior - y0 - a))
-        sigma = math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-        if abs(d) >= z * sigma:
-            # the near bound of the interval, so that a weight rests on what the counts prove
-            weights[w] = d - math.copysign(min(abs(d), 1.645 * sigma), d)
-            other1, other0 = other1 - y1, other0 - y0
-            p.append(((y0 + a) / (n0 + prior), weights[w]))
+    for w, y1, y0, a, d, sigma in sorted(proven):
+        # the near bound of the interval, so that a weight rests on what the counts prove
+        weights[w] = d - math.copysign(min(abs(d), 1.645 * sigma), d)
+        other1, other0 = other1 - y1, other0 - y0
+        p.append(((y0 + a) / (n0 + share), weights[w]))
     # Words without a weight of their own share one; it is kept under -0.1 so that a chance run loses score.
     base = min(-0.1, math.log(max(other1, 1.0) / n1) - math.log(max(other0, 1.0) / n0))
     p.append((max(1e-9, 1 - sum(x for x, _ in p)), base))
     model = ToxicityModel(weights, base, _root(p))
     # K: segments of clean texts per word and exp(-lambda S); half a segment is added, so it is never zero.
-    rows = sample.mapInArrow(_measured(model), "toxic int, words int, scores array<double>").collect()
-    clean = [r for r in rows if not r["toxic"]]
-    words0 = sum(r["words"] for r in clean)
+    words0, seen = sample.where("toxic = 0").mapInArrow(_measured(model), "words long, segments long").agg(F.sum("words"), F.sum("segments")).first()
     least = min([s for _, s in p if s > 0], default=1.0)
-    seen = sum(len(r["scores"]) for r in clean)
     model.k = min(1.0, (seen + 0.5) / max(words0, 1) * math.exp(model.lam * least))
-    points = [(math.log1p(sum(max(0.0, -math.log(max(e, 1e-300))) for s in r["scores"] if (e := model.e_value(s, r["words"])) <= model.max_e)), r["toxic"]) for r in rows]
-    model.a, model.b = _logistic(points)
+    rows = sample.mapInArrow(_evidence(model), "evidence double, toxic int").collect()
+    model.a, model.b = _logistic(sorted((math.log1p(r["evidence"]), r["toxic"]) for r in rows))
     return model
 
 
 def _measured(model: ToxicityModel):
+    """Words and segments of each text."""
+
+    def run(batches):
+        for b in slices(batches):
+            words = [WORD.findall((t or "").lower()) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array([len(model.segments(w)) for w in words], pa.int64())], names=["words", "segments"])
+
+    return run
+
+
+def _evidence(model: ToxicityModel):
     def run(batches):
         for b in slices(batches):
-            toxic, n, scores = [], [], []
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = WORD.findall((text or "").lower())
-                toxic.append(y)
-                n.append(len(words))
-                scores.append([s for _, _, s in model.segments(words)])
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(n, pa.int32()), pa.array(scores, pa.list_(pa.float64()))], names=["toxic", "words", "scores"])
+            yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t)[0] for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["evidence", "toxic"])
 
     return run
 
@@ -250,7 +253,8 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", threshold: fl
     """df with score (0 to 1), predicted (1 if score >= threshold, else 0) and passages (number of toxic ones).
 
     A null or empty text has no passage and gets the score of no evidence.  Equal texts score equally; other columns,
-    repeated rows and the order of rows do not matter.  The weights that are broadcast are bounded by MAX_VOCABULARY.
+    repeated rows and the order of rows do not matter.  Broadcast are the weights of the proven words,
+    each of which at least min_texts of the labelled texts hold.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
     at = [c for c in df.columns if c not in ("score", "predicted", "passages")].index(text)

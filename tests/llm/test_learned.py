@@ -129,3 +129,160 @@ def test_held_out_rows(spark):
 
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in got)
+
+
+def test_letters():
+    model = langid.train([(*langid.sparse("the dog"), "en")])
+    assert [model.predict(t)[0] for t in ("½ ² ①", "Ⅷ", "_1_", "ª1", "1é", "漢")] == ["und"] * 3 + ["en"] * 3
+
+
+def test_sample_is_shared_out():
+    assert langid.quotas({"a": 5, "b": 100, "c": 1000}, 60) == {"a": 5, "b": 27, "c": 28}
+    assert langid.quotas({}, 9) == {} and langid.quotas({"a": 3, "b": 3}, 1) == {"a": 1, "b": 1}
+
+
+def test_repeated_ids_leave_the_sample_whole(spark):
+    data = [(i, f"text {'abcdefghij'[i % 10]} number {i} of one", "xy"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for hot in (2, 3, 5, 7):
+        many = docs.unionAll(spark.range(20000).selectExpr(f"{hot}L AS doc_id", "'again' AS text", "'x' AS lang"))
+        chosen = langid._sample(many.select(F.col("doc_id").alias("id"), "lang"), 200)
+        assert chosen.count() == chosen.select("id").distinct().count() == 200
+        assert sorted(r[1] for r in chosen.groupBy("lang").count().collect()) == [100, 100]
+        model = langid.fit(many, max_documents=200)
+        assert model.labels == ["x", "y"]
+
+
+def test_language_model_against_a_slow_one(spark):
+    """Slots, idf, weights and temperature from a plain dictionary version of the same learner."""
+    docs = documents(spark, [f"the {a} and the {b} of it" for a in ("cat", "dog", "cow") for b in ("sea", "sun", "fog")] + [f"der {a} und die {b} davon" for a in ("Hund", "Kater", "Stier") for b in ("See", "Sonne", "Nacht")])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 9, "en").otherwise("de"))
+    got = langid.fit(docs)
+    rows_ = [(r["text"], r["lang"]) for r in docs.where(~held_out(F.col("doc_id"))).collect()]
+    grams = lambda t: [t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+    slot = {g: [s for s in np.flatnonzero(langid.counts(g))] for t, _ in rows_ for g in grams(t)}
+    assert all(len(slot[g]) <= 2 * len(g) for g in slot)
+    one = lambda g: int(np.flatnonzero(langid.counts(g) - sum((langid.counts(p) for p in {g[:-1], g[1:]}), np.zeros(langid.SLOTS, int)) > 0)[0]) if len(g) > 1 else int(slot[g][0])
+    for text, _ in rows_:
+        at, n = langid.sparse(text)
+        assert n.sum() == len(grams(text)) and {one(g) for g in set(grams(text)) if len(g) == 1} <= set(at.tolist())
+    df = {}
+    for text, _ in rows_:
+        for s in langid.sparse(text)[0].tolist():
+            df[s] = df.get(s, 0) + 1
+    assert all(abs(got.idf[s] - (math.log((1 + len(rows_)) / (1 + df.get(s, 0))) + 1)) < 1e-12 for s in range(langid.SLOTS))
+    # the learner, number by number
+    made = sorted(((*langid.sparse(t), y) for t, y in rows_), key=lambda r: (r[2], len(r[0]), r[0].astype(np.int32).tobytes(), r[1].astype(np.int32).tobytes()))
+    labels, rng = sorted({y for *_, y in made}), np.random.default_rng(5)
+    order = rng.permutation(len(made))
+    fitted = order[int(len(made) * 0.2) :]
+    z, n, bias, nb = {}, {}, [0.0] * 2, [0.0] * 2
+
+    def weight(s, k):
+        v = z.get((s, k), 0.0)
+        return 0.0 if abs(v) <= 0.01 else -(v - math.copysign(0.01, v)) / ((1.0 + math.sqrt(n.get((s, k), 0.0))) / 0.5 + 0.01)
+
+    for _ in range(2):
+        for i in rng.permutation(fitted):
+            at, c, y = made[i]
+            x = {int(s): math.log1p(int(m)) * got.idf[s] for s, m in zip(at, c, strict=True)}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            x = {s: v / norm for s, v in x.items()}
+            old = {(s, k): weight(s, k) for s in x for k in range(2)}
+            e = [sum(x[s] * old[s, k] for s in x) + bias[k] for k in range(2)]
+            top = max(e)
+            p = [math.exp(v - top) for v in e]
+            for k in range(2):
+                g = p[k] / sum(p) - (labels[k] == y)
+                for s in x:
+                    step, before = x[s] * g, n.get((s, k), 0.0)
+                    n[s, k] = before + step * step
+                    z[s, k] = z.get((s, k), 0.0) + step - (math.sqrt(n[s, k]) - math.sqrt(before)) / 0.5 * old[s, k]
+                nb[k] += g * g
+                bias[k] -= 0.5 * g / (1.0 + math.sqrt(nb[k])) * 0.1
+    assert got.labels == labels and np.abs(got.bias - bias).max() < 1e-9
+    assert all(abs(got.weights[s, k] - weight(s, k)) < 1e-9 for s in range(langid.SLOTS) for k in range(2))
+
+
+def labelled_corpus(spark, repeat=True):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(400):
+        t = rnd.choices(words, k=30)
+        if i % 4 == 0:
+            t[5:7] = ["vile", "foul"]
+        texts.append((i, " ".join(t)))
+    docs = texts + [(2, "one more text of this id")] * 3 + [(8, "zz vile foul")] * 2 if repeat else texts
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(400)] + ([(2, 0, 1)] * 2 if repeat else [])
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_models_do_not_depend_on_the_layout(spark):
+    docs, labels = labelled_corpus(spark)
+    made = []
+    for part in (1, 3, 7):
+        d, y = docs.repartition(part).orderBy(F.rand(part)), labels.repartition(part)
+        t, m = toxicity.fit(d, y), mixing.fit(d, y)
+        made.append((t.weights, t.base, t.lam, t.k, t.a, t.b, m.domains, m.weights.tolist(), m.bias.tolist()))
+    assert made[0] == made[1] == made[2] and made[0][0].keys() >= {"vile", "foul"}
+
+
+def test_toxicity_model_against_a_slow_one(spark):
+    docs, labels = labelled_corpus(spark, repeat=False)
+    got = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"].split() for r in docs.collect()}
+    learn = {r["id"] for r in docs.select(F.col("doc_id").alias("id")).where(~held_out(F.col("id"))).collect()}
+    seen = set()
+    for i in learn:
+        around = ["", *texts[i], ""]
+        for w in set(texts[i]):
+            seen.add((w, i % 4 == 0, min(toxicity.hash_pair(a, c) for a, b, c in zip(around, around[1:], around[2:]) if b == w)))
+    y = [{}, {}]
+    for w, toxic, _ in seen:
+        y[toxic][w] = y[toxic].get(w, 0) + 1
+    corpus = {}
+    for t in texts.values():
+        for w in set(t):
+            corpus[w] = corpus.get(w, 0) + 1
+    n0, n1 = (sum(x.values()) for x in y)
+    prior, weights, p, o0, o1 = 0.1 * (n0 + n1), {}, [], n0, n1
+    for w in sorted(set(y[0]) | set(y[1])):
+        y0, y1, a = y[0].get(w, 0), y[1].get(w, 0), 0.1 * (n0 + n1) * corpus[w] / sum(corpus.values())
+        d = math.log((y1 + a) / (n1 + prior - y1 - a)) - math.log((y0 + a) / (n0 + prior - y0 - a))
+        sigma = math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+        if y0 + y1 >= 5 and abs(d) >= 3 * sigma:
+            weights[w] = math.copysign(abs(d) - 1.645 * sigma, d)
+            p.append(((y0 + a) / (n0 + prior), weights[w]))
+            o0, o1 = o0 - y0, o1 - y1
+    base = min(-0.1, math.log(o1 / n1) - math.log(o0 / n0))
+    p.append((1 - sum(x for x, _ in p), base))
+    assert got.weights.keys() == weights.keys() and all(abs(got.weights[w] - weights[w]) < 1e-9 for w in weights)
+    assert abs(got.base - base) < 1e-9 and abs(sum(q * math.exp(got.lam * s) for q, s in p) - 1) < 1e-6
+    clean = [texts[i] for i in learn if i % 4]
+    score = lambda t: [weights.get(w, base) for w in t]
+    found = [[sum(score(t)[i:j]) for i, j in plain_segments(score(t))] for t in clean]
+    k = (sum(map(len, found)) + 0.5) / sum(map(len, clean)) * math.exp(got.lam * min(s for _, s in p if s > 0))
+    assert abs(got.k - min(1.0, k)) < 1e-9
+
+
+def test_rates_against_a_plain_solver(spark):
+    """The rates are the least squares of the stated objective, found here by many small steps on each rate."""
+    rng = np.random.default_rng(8)
+    p, t = rng.dirichlet([0.4, 0.4, 0.4], 200), rng.integers(1, 60, 200)
+    members = spark.createDataFrame([(i, int(n), [float(x) for x in row]) for i, (n, row) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, posterior array<double>")
+    goal = np.array([0.6, 0.3, 0.1]) * t.sum() * 1.5
+    steps, shrink, _ = mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.6, "b": 0.3, "c": 0.1}, total=float(goal.sum()), rounds=200, ridge=0.05, tolerance=0.0)
+    got = mixing.rates(p, np.array(steps), shrink)
+    m = (p * t[:, None]).T @ p
+    inverse = np.linalg.inv(m + 1e-3 * np.trace(m) / 3 * np.eye(3))
+
+    def loss(r):
+        e = (r * t) @ p - goal
+        return 0.35 * e @ inverse @ e + 0.025 * (t * (r - 1) ** 2).sum()
+
+    r = np.ones(200)
+    for _ in range(20000):
+        e = (r * t) @ p - goal
+        r = np.maximum(0, r - 0.01 * (0.7 * p @ inverse @ e + 0.05 * (r - 1)))
+    assert loss(got) <= loss(r) * 1.02 and np.abs((got * t) @ p - goal).max() <= np.abs((r * t) @ p - goal).max() + 1e-6
