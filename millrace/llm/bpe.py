@@ -175,8 +175,8 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
     """df with n_tokens, and as asked for the ids (a binary of int32) and the digests of ids and decoded bytes.
 
     Whole texts are encoded without special tokens, each match of the pattern on its own.  A null text counts as empty
-    (0 tokens, digests of the empty string).  Other columns pass through; repeated rows are encoded alike.  The
-    vocabulary that is broadcast has a fixed size.
+    (0 tokens, digests of the empty string).  Other columns pass through, but for those of an output's name; repeated rows
+    are encoded alike.  The vocabulary that is broadcast has a fixed size.
     """
     tokens = load_ranks(ranks)
     held = df.sparkSession.sparkContext.broadcast((tokens, Pairs.of(tokens)))
@@ -188,15 +188,17 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
         sha = lambda b: hashlib.sha256(b).hexdigest()
 
         def run(b):
-            n, packed, one, two = [], [], [], []
-            for got in (ids_ for i in range(0, b.num_rows, BATCH) for ids_ in e.encode_batch(b.column(at).slice(i, BATCH).to_pylist())):
-                n.append(len(got))
-                if ids:
-                    packed.append(np.array(got, np.int32).tobytes())
-                if digests:
-                    one.append(sha(",".join(map(e.decimal.__getitem__, got)).encode()))
-                    two.append(sha(e.decode(got)))
-            return [n, *([packed] if ids else []), *([one, two] if digests else [])]
+            texts, made = b.column(at).to_pylist(), {}  # equal texts of a slice are encoded once
+            some = list(dict.fromkeys(texts))
+            for i in range(0, len(some), BATCH):
+                for t, got in zip(some[i : i + BATCH], e.encode_batch(some[i : i + BATCH]), strict=False):
+                    row = [len(got)]
+                    if ids:
+                        row.append(np.array(got, np.int32).tobytes())
+                    if digests:
+                        row += [sha(",".join(map(e.decimal.__getitem__, got)).encode()), sha(e.decode(got))]
+                    made[t] = row
+            return [[made[t][k] for t in texts] for k in range(len(outputs))]
 
         return run
 

@@ -93,9 +93,9 @@ def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[],
     slices of SLICE rows, so what is held as Python objects stays small.
     """
     keep = [c for c in df.columns if c not in outputs]
-    src = df.select(*(F.col(quoted(c)) for c in keep))
-    schema = T.StructType(src.schema.fields + [T.StructField(n, T._parse_datatype_string(k)) for n, k in outputs.items()])
-    names, kinds = [*keep, *outputs], [ARROW[k] for k in outputs.values()]
+    src = df.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)))  # a name may hold a dot
+    schema = T.StructType(src.schema.fields + [T.StructField(f"o{i}", T._parse_datatype_string(k)) for i, k in enumerate(outputs.values())])
+    names, kinds = schema.names, [ARROW[k] for k in outputs.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = factory()
@@ -103,7 +103,7 @@ def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[],
             made = compute(b)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*keep, *outputs)
 
 
 def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -30,7 +30,7 @@ TARGETS = {"q1t0": 0.78, "q0t0": 0.12, "q1t1": 0.08, "q0t1": 0.02}
 #: A label's domain; BY_QUALITY leaves toxicity out, for corpora that it has been filtered from.
 DOMAIN = "concat('q', quality, 't', toxic)"
 BY_QUALITY = "concat('q', quality)"
-QUALITY_TARGETS = {"q1": 0.88, "q0": 0.12}
+QUALITY_TARGETS = {"q1": 0.9, "q0": 0.1}
 
 
 def features(text: str | None) -> tuple[np.ndarray, int]:
