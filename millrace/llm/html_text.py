@@ -1,10 +1,11 @@
 """Main text of web pages by composite text density (Sun, Song and Liao 2011).
 
-A page is parsed to a tree by one pass of a tokenizer; noise (navigation, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts) goes by tag, role and class.  Every node gets its characters per tag, adjusted for links; a
-node's density sum is that of its children's densities.  The node of the largest sum is found, and from it the way up
-to the body is followed: to the article or main element around it, else while a parent is denser than the least dense
-node on the path (the threshold) and close to the node itself.  Everything in the subtree is the main text.
+A page is parsed to a tree by one pass of a tokenizer.  Every node gets its characters per tag, adjusted for links; a
+node's density sum is that of its children's densities.  The node of the largest sum is the core of the text.  From it
+the way up towards the body is followed: the least density on that path is the threshold, and a parent is taken while
+what it adds is at least as dense (or while its markup says that it is the article).  Noise inside the chosen subtree
+(navigation, headers, footers, sidebars, notices, adverts, forms, reader comments) then goes by tag, role, class and
+heading; a class word alone never removes a node that holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -12,56 +13,96 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 
 from millrace.llm.common import append_columns
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+COMMENTS = re.compile(r"\W*\d*\W*(?:reader |user |leave an? )?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)\W*\d*\W*", re.I)
 
 # Element names of the HTML standard, and words by which pages name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption legend summary".split()) | {"table"}
-DROPPED = frozenset("head nav footer aside form script style noscript iframe textarea title button select option input svg canvas object embed template menu dialog audio video map xmp noembed noframes".split())
+INVISIBLE = frozenset("head script style noscript iframe textarea title button select option input svg canvas object embed template audio video map xmp noembed noframes".split())
+DROPPED = frozenset("nav footer aside menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices disclaimer alert sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus respond replies share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager widget toolbar skip".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LI = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select",)}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot")}
+REMARKS = frozenset("comment comments disqus respond replies".split())
+TABLE = frozenset("td th tr table tbody thead tfoot".split())
 
 
 class Page:
-    """Nodes in document order: tag, parent, attributes (source text), and items: ints (nodes) and strings (text)."""
+    """Nodes in document order: tag, parent, attributes (source text), and items: ints (nodes) and strings (text).
+
+    Parsing takes time linear in the source, whatever its markup: each open tag's places on the stack are known.
+    """
 
     def __init__(self, source: str):
         self.tag, self.parent, self.attributes, self.items = ["#root"], [-1], [""], [[]]
-        self.stack = [0]
-        at = 0
-        while at < len(source):
-            m = TOKEN.search(source, at)
-            if not m:
-                self.text(source[at:])
+        self.stack, self.open_at = [0], defaultdict(list)
+        at, end, pattern = 0, len(source), TAG
+        while at < end:
+            i = source.find("<", at)
+            if i < 0:
+                i = end
+            if i > at:
+                self.text(source[at:i])
+            at = i
+            if at == end:
                 break
-            if m.start() > at:
-                self.text(source[at : m.start()])
-            at = m.end()
-            if m[2]:
-                tag = m[2].lower()
-                if m[1]:
-                    self.close(tag)
+            if source.startswith("<!--", at):
+                at = self.after(source, "-->", at + 4)
+            elif source.startswith("<![CDATA[", at):
+                stop = source.find("]]>", at)
+                self.text(source[at + 9 : stop if stop >= 0 else end].replace("&", "&amp;"))
+                at = stop + 3 if stop >= 0 else end
+            elif source.startswith(("<!", "<?"), at):
+                at = self.after(source, ">", at)
+            elif not source[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+                self.text("<")
+                at += 1
+            else:
+                m = pattern.match(source, at)
+                if not m and pattern is TAG:
+                    pattern = PLAIN_TAG  # quotes do not pair up to the end: from here on a tag ends at the next ">"
+                    m = pattern.match(source, at)
+                if m:
+                    at = self.element(source, m)
+                elif source.find(">", at) < 0:
+                    self.text(source[at:])
+                    at = end
                 else:
-                    self.open(tag, m[3])
-                    if tag in RAW and not m[3].endswith("/"):
-                        end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                        if tag not in DROPPED:
-                            self.text(source[at : end.start() if end else len(source)])
-                        self.close(tag)
-                        at = end.end() if end else len(source)
-            elif m[0].startswith("<![CDATA["):
-                self.text(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                    self.text("<")
+                    at += 1
+
+    @staticmethod
+    def after(source: str, mark: str, at: int) -> int:
+        i = source.find(mark, at)
+        return len(source) if i < 0 else i + len(mark)
+
+    def element(self, source: str, m: re.Match) -> int:
+        """Open or close what a tag says; where reading goes on."""
+        tag, at = m[2].lower(), m.end()
+        if m[1]:
+            self.close(tag)
+            return at
+        self.open(tag, m[3])
+        if tag in RAW and not m[3].endswith("/"):
+            last = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+            if tag not in INVISIBLE:
+                self.text(source[at : last.start() if last else len(source)])
+            self.close(tag)
+            at = self.after(source, ">", last.end()) if last else len(source)
+        return at
 
     def text(self, s: str) -> None:
         self.items[self.stack[-1]].append(s)
@@ -73,7 +114,7 @@ class Page:
             for t in SAME.get(tag, (tag,)):
                 self.close_within(t, LI[tag])
         elif tag in HEADINGS and self.tag[self.stack[-1]] in HEADINGS:
-            self.stack.pop()
+            self.cut(len(self.stack) - 1)
         n = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
@@ -81,24 +122,26 @@ class Page:
         self.items.append([])
         self.items[self.stack[-1]].append(n)
         if tag not in VOID:
+            self.open_at[tag].append(len(self.stack))
             self.stack.append(n)
 
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.open_at[self.tag[self.stack.pop()]].pop()
+
+    def place(self, *tags: str) -> int:
+        """The highest place on the stack of an open element of these names; 0 for none."""
+        return max((self.open_at[t][-1] for t in tags if self.open_at.get(t)), default=0)
+
     def close_within(self, tag: str, scope: tuple) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            t = self.tag[self.stack[i]]
-            if t == tag:
-                del self.stack[i:]
-                return
-            if t in scope:
-                return
+        i = self.place(tag)
+        if i and i > self.place(*scope):
+            self.cut(i)
 
     def close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[i]] == tag:
-                del self.stack[i:]
-                return
-            if self.tag[self.stack[i]] in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot"):
-                return
+        i = self.place(tag)
+        if i and (tag in TABLE or i > self.place("td", "th", "table")):
+            self.cut(i)
 
     def words(self, n: int) -> set[str]:
         out: set[str] = set()
@@ -112,25 +155,96 @@ class Page:
                 out.add("hidden")
         return out
 
-    def noise(self, n: int, inside: bool) -> bool:
-        """inside: below an article or main element, where a header may hold the article's own title."""
+    def noise(self, n: int, inside: bool, share: float) -> bool:
+        """inside: below an article or main element, where a header may hold the article's own title; share: of the page's text."""
         tag = self.tag[n]
-        if tag in DROPPED or tag == "header" and not inside:
+        if tag in DROPPED or tag == "header" and not inside or tag == "form" and share <= 0.5:
             return True
         if not self.attributes[n] or tag in ("html", "body", "article", "main"):
             return False
         words = self.words(n)
-        return "hidden" in words or bool(words & NOISE) or any(w.startswith("role ") and w[5:] in ROLES for w in words)
+        if "hidden" in words or words & REMARKS or any(w.startswith("role ") and w[5:] in ROLES for w in words):
+            return True
+        return share <= 0.5 and bool(words & NOISE)
+
+    def remarks(self) -> set[int]:
+        """Roots of reader comments that a heading announces: its parent, or, below an article itself, all after it."""
+        out = set()
+        for n, tag in enumerate(self.tag):
+            if tag in HEADINGS and COMMENTS.fullmatch(html.unescape("".join(x for x in self.items[n] if isinstance(x, str)))):
+                p = self.parent[n]
+                around = [x for x in self.items[p] if not isinstance(x, str) or x.strip()]
+                if around[0] == n and self.tag[p] not in ("#root", "html", "body", "article", "main"):
+                    out.add(p)
+                else:
+                    after = [x for x in around[around.index(n) :] if not isinstance(x, str)]
+                    stop = next((k for k, x in enumerate(after[1:], 1) if self.tag[x] in HEADINGS), len(after))
+                    out.update(after[:stop])
+        return out
 
 
 def density(c: float, t: float, lc: float, lt: float, body: float) -> float:
-    """Characters per tag, adjusted for links: c, t are a node's characters and tags, lc, lt those of links; body is the
-    page's link characters per character."""
+    """Composite text density: c, t are a node's characters and tags, lc, lt those of links; body is the page's link
+    characters per character.  The base of the logarithm is the paper's, but e at least."""
     if not c:
         return 0.0
     t, lt, lc_or_1, rest = max(t, 1), max(lt, 1), max(lc, 1), max(c - lc, 1)
-    base = c / rest * lc + body * c + math.e
-    return c / t * math.log(max(c / lc_or_1 * t / lt, 1.0)) / math.log(base)
+    base = math.log(c / rest * lc + body * c + math.e)
+    return c / t * math.log(max(c / lc_or_1 * t / lt, 1.0)) / math.log(max(base, math.e))
+
+
+class Counts:
+    """Characters, tags, link characters and link tags of every node, over the nodes that `of` holds to be there."""
+
+    def __init__(self, page: Page, of: list[bool], linked: list[bool]):
+        n = len(page.tag)
+        self.c, self.t, self.lc, self.lt = [0] * n, [0] * n, [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            if not of[i]:
+                continue
+            own = sum(len(" ".join(x.split())) for x in page.items[i] if isinstance(x, str))
+            self.c[i] += own
+            self.lc[i] += own if linked[i] else 0
+            if i:
+                p = page.parent[i]
+                self.c[p] += self.c[i]
+                self.t[p] += self.t[i] + 1
+                self.lc[p] += self.lc[i]
+                self.lt[p] += self.lt[i] + (page.tag[i] == "a")
+
+    def of(self, i: int) -> tuple[int, int, int, int]:
+        return self.c[i], self.t[i], self.lc[i], self.lt[i]
+
+
+def choose(page: Page, keep: list[bool], all_: Counts, kept: Counts) -> int:
+    """The root of the main text: the kept node of the largest density sum, and what of the path to the body belongs to it."""
+    n = len(page.tag)
+    ratio = all_.lc[0] / max(all_.c[0], 1)
+    dense = [density(*all_.of(i), ratio) for i in range(n)]
+    sums = [0.0] * n
+    for i in range(1, n):
+        if keep[i]:
+            sums[page.parent[i]] += dense[i]
+    body = next((i for i in range(n) if page.tag[i] == "body" and keep[i]), 0)
+    best = max((i for i in range(n) if keep[i] and page.tag[i] != "html"), key=lambda i: (sums[i], -i))
+    if not sums[best]:
+        return body
+    path = [best]
+    while path[-1] not in (0, body):
+        path.append(page.parent[path[-1]])
+    threshold = min(dense[i] for i in path)
+    article = next((i for i in path if page.tag[i] == "article"), next((i for i in path if page.tag[i] == "main"), None))
+    for below, i in zip(path, path[1:], strict=False):
+        more = [x - y for x, y in zip(kept.of(i), kept.of(below), strict=True)]
+        if not more[0]:
+            continue  # a mere wrapper: what lies above it decides
+        # Nodes come in document order, so those of the path from the article down have numbers not under its own.
+        if not (article is not None and i >= article) and density(*more, ratio) < threshold:
+            break
+        best = i
+    while page.tag[best] not in BLOCK and best:
+        best = page.parent[best]
+    return best
 
 
 def extract(source: str | None) -> str:
@@ -139,52 +253,24 @@ def extract(source: str | None) -> str:
         return ""
     page = Page(source)
     n = len(page.tag)
-    keep, inside, linked = [True] * n, [False] * n, [False] * n
+    seen, inside, linked = [True] * n, [False] * n, [False] * n
     for i in range(1, n):
         p = page.parent[i]
         inside[i] = inside[p] or page.tag[i] in ("article", "main")
         linked[i] = linked[p] or page.tag[i] == "a"
-        keep[i] = keep[p] and not page.noise(i, inside[p])
-    if not any(keep[1:]) and not any(isinstance(x, str) and x.strip() for x in page.items[0]):
+        seen[i] = seen[p] and page.tag[i] not in INVISIBLE
+    counts = Counts(page, seen, linked)
+    if not counts.c[0]:
         return ""
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    for i in range(n - 1, -1, -1):
-        if not keep[i]:
-            continue
-        own = sum(len(" ".join(x.split())) for x in page.items[i] if isinstance(x, str))
-        chars[i] += own
-        if linked[i]:
-            link_chars[i] += own
-        if i:
-            p = page.parent[i]
-            chars[p] += chars[i]
-            tags[p] += tags[i] + 1
-            link_chars[p] += link_chars[i]
-            link_tags[p] += link_tags[i] + (page.tag[i] == "a")
-    ratio = link_chars[0] / max(chars[0], 1)
-    dense = [density(chars[i], tags[i], link_chars[i], link_tags[i], ratio) if keep[i] else 0.0 for i in range(n)]
-    sums = [0.0] * n
+    remarks, keep = page.remarks(), seen[:]
     for i in range(1, n):
-        sums[page.parent[i]] += dense[i]
-    body = next((i for i in range(n) if page.tag[i] == "body" and keep[i]), 0)
-    best = max((i for i in range(n) if keep[i] and page.tag[i] not in ("html",)), key=lambda i: (sums[i], -i))
-    if not sums[best]:
-        best = body
-    path = [best]
-    while path[-1] > 0 and path[-1] != body:
-        path.append(page.parent[path[-1]])
-    around = [i for i in path if page.tag[i] == "article"] or [i for i in path if page.tag[i] == "main"]
-    if around:
-        best = around[-1]
-    else:
-        least = min(dense[i] for i in path)
-        for i in path[1:]:
-            if i in (body, 0) or dense[i] <= least or dense[i] < 0.75 * dense[best]:
-                break
-            best = i
-        if page.tag[best] not in BLOCK:
-            best = next((i for i in path[path.index(best) :] if page.tag[i] in BLOCK), 0)
-    return blocks(page, best, keep)
+        keep[i] = seen[i] and keep[page.parent[i]] and i not in remarks and not page.noise(i, inside[page.parent[i]], counts.c[i] / counts.c[0])
+    top = choose(page, keep, counts, Counts(page, keep, linked))
+    if not inside[top]:  # beside a text that no markup marks, a part of two links or more and nothing else is a menu
+        for x in page.items[top]:
+            if not isinstance(x, str) and counts.lt[x] > 1 and counts.lc[x] == counts.c[x]:
+                keep[x] = False
+    return blocks(page, top, keep)
 
 
 def blocks(page: Page, top: int, keep: list[bool]) -> str:
@@ -204,7 +290,7 @@ def blocks(page: Page, top: int, keep: list[bool]) -> str:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif keep[x] or x == top:
+        elif keep[x]:
             if page.tag[x] == "br":
                 run.append(" ")
             elif page.tag[x] in BLOCK:
