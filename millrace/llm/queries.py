@@ -91,4 +91,4 @@ FROM f GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op5_chat": OP5_SQL, "op9_license": license.scan_sql()}
+    return {"op4_topk": OP4_SQL, "op5_chat": OP5_SQL, "op6_merkle": merkle.edit_likeness_sql(), "op9_license": license.scan_sql()}
