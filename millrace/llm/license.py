@@ -10,19 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-_OTHER = r"notices?|holders?|owners?|licen[cs]es?|laws?|interests?|statements?|protection|permission|disclaimer"
+#: "copyright" before one of these words speaks of the right, not of its holder; a mark after it keeps its line.
+KEPT = (
+    r"((?i:copyright))([^\p{L}\p{N}\n]*(?:(?i:notices?|holders?|owners?|licen[cs]es?|laws?|interests?|statements?|protection|permission|disclaimer)"
+    r"|THE|AND|OR|IN|OF|TO|IS|AS|ON|FOR)(?:[^\p{L}\p{N}]|\z))"
+)
 #: A whole line of a copyright notice: a year, a sign, a placeholder or a name follows the word, so that a wrapped sentence
-#: ("copyright notice and this ...", "(c) You must ...") stays.  For texts in their own case.
+#: ("copyright notice and this ...", "(c) You must ...") stays.  For texts in their own case, after KEPT; lines end at \n.
 NOTICE_LINE = (
-    r"(?m)^[^\p{L}\p{N}\n]*(?:(?i:copyright)\b[^\p{L}\p{N}\n]*(?:\p{N}|(?i:\(c\))|©|[\[<{]|(?i:by|c)\b|(?!(?i:" + _OTHER + r")\b)(?!(?:THE|AND|OR|IN|OF|TO|IS|AS|ON|FOR)\b)\p{Lu})"
-    r"|(?i:\(c\))[^\n]*(?:\p{N}{4}|(?i:copyright)\b(?![^\p{L}\n]*(?i:" + _OTHER + r")\b))|©|(?i:all rights reserved))[^\n]*$"
+    r"^[^\p{L}\p{N}\n]*(?:(?i:copyright)[^\p{L}\p{N}\n\x02]+(?:\p{N}|(?i:\(c\))|©|[\[<{]|(?i:by|c)[^\p{L}\p{N}\n]|\p{Lu})"
+    r"|(?i:\(c\))[^\n]*(?:\p{N}{4}|(?i:copyright)(?:[^\p{L}\p{N}\n\x02]|$))|©|(?i:all rights reserved))[^\n]*$"
 )
 #: Equivalent spellings, each as whole words of a canonical form.
 EQUIVALENT = [
     ("licence", "license"),
     ("licences", "licenses"),
     ("licenced", "licensed"),
+    ("sublicence", "sublicense"),
     ("sub license", "sublicense"),
     ("sub licence", "sublicense"),
     ("non commercial", "noncommercial"),
@@ -124,7 +128,8 @@ FULL = [
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
-    c = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOTICE_LINE, ""))
+    c = F.regexp_replace(F.coalesce(text, F.lit("")), KEPT, "$1\x02$2")
+    c = F.lower(F.regexp_replace(c, "(?md)" + NOTICE_LINE, ""))
     c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in EQUIVALENT:
         # twice, since a match takes the space that a repeated word would need
@@ -152,9 +157,9 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def canonical_sql(text: str) -> str:
-    """canonical() as DuckDB SQL, with COPYRIGHT_LINE for a notice line: its expressions have no look-ahead."""
-    c = f"lower(coalesce({text}, ''))"
-    c = f"regexp_replace({c}, '{COPYRIGHT_LINE}', '', 'g')"
+    """canonical() as DuckDB SQL."""
+    c = f"regexp_replace(coalesce({text}, ''), '{KEPT}', '\\1' || chr(2) || '\\2', 'g')"
+    c = f"lower(regexp_replace({c}, '(?m){NOTICE_LINE}', '', 'g'))"
     c = f"' ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
     for a, b in EQUIVALENT:
         for _ in range(2 if " " not in a else 1):
@@ -163,9 +168,11 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql() -> str:
-    """scan() as DuckDB SQL, for the texts of KNOWN."""
+    """scan() as DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
-    return f"""WITH known AS (SELECT min(license_id) AS license_id, sha256({canonical_sql("license_text")}) AS digest FROM (VALUES {rows}) AS k(license_id, license_text) GROUP BY 2),
+    texts = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN + MORE)
+    digests = ", ".join(f"({quote(i)}, {quote(d)})" for i, d in FULL)
+    return f"""WITH listed AS (SELECT license_id, sha256({canonical_sql("license_text")}) AS digest FROM (VALUES {texts}) AS k(license_id, license_text) UNION ALL VALUES {digests}),
+known AS (SELECT min(license_id) AS license_id, digest FROM listed GROUP BY digest),
 d AS (SELECT doc_id, sha256({canonical_sql("text")}) AS canonical_sha256 FROM documents)
 SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN known ON digest = canonical_sha256"""

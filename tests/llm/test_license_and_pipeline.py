@@ -53,6 +53,23 @@ def test_notice_lines(spark):
     assert left == [None] * len(gone) + stay
 
 
+def test_matches_are_those_of_the_sql(spark, tmp_path):
+    """Copies of whole texts in other case, spelling and wrapping, with notices, beside texts that are none."""
+    texts = [None, "", "...", "copyright", "Copyright 2020 A\ncopyright notice", "(c) Copyright\nx", "a\rCopyright 2020 B\rb", "Ünïcode © 2020\n© x", "All rights reserved. x\ny"]
+    for k, (_, t) in enumerate(license.KNOWN + license.MORE):
+        texts += [t, f"Copyright (c) {1990 + k} Some One\n\n" + t.upper(), "\n\n".join(textwrap.fill(p, 40 + k) for p in t.split("\n\n")), re.sub(r"(?i)\b((?:sub)?licen)s(e)\b", r"\1c\2", t), t + " more", t[5:]]
+    folder = pathlib.Path("/usr/share/common-licenses")
+    texts += [f.read_text() for f in sorted(folder.iterdir()) if f.is_file()] if folder.exists() else []
+    documents(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = database()
+    db.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = license.scan(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(db.execute(license.scan_sql()).fetchall(), key=repr)
+    found = [r["license_id"] for r in sorted(got, key=lambda r: r["doc_id"])][9:]
+    for k, (i, _) in enumerate(license.KNOWN + license.MORE):
+        assert found[6 * k : 6 * k + 4] == [i] * 4 and found[6 * k + 4 : 6 * k + 6] == [None] * 2, i
+
+
 def test_plan_is_native(spark):
     plan = queries.op9_license(spark, FOLDER)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
