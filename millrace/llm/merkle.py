@@ -123,8 +123,14 @@ def key(branch: str, level: int) -> str:
 
 
 def n_pieces(branch: str, level: int) -> int:
-    """How many pieces are below a branch, whose children are of the given level."""
-    return len(branch) // SHORT if level == 3 else 1 if level == 4 else sum(n_pieces(b, level + 1) for b in parted(branch, level))
+    """How many pieces are below a branch, whose children are of the given level: what is left of it beside digests and marks."""
+    if level == 4:
+        return 1
+    if level == 3:
+        return len(branch) // SHORT
+    n = branch.count(":") - (level == 1)  # paragraphs
+    above = (SHORT + 1) * n if level == 2 else (SHORT + 1) * (n + 1) + n - 1
+    return (len(branch) - above - branch.count(",")) // SHORT
 
 
 def sections(print_: str) -> list[str]:
