@@ -1,4 +1,7 @@
-"""Array, set and vector functions.  Arrays are ARRAY columns; JSON text is for the edges only (from_json, to_json)."""
+"""Array, set and vector functions.  Arrays are ARRAY columns; JSON text is for the edges only (from_json, to_json).
+
+`element_at(transform(array(e), n -> ...), 1)` computes e once for a row and uses it as n in the inner lambda.
+"""
 
 from __future__ import annotations
 
@@ -21,10 +24,10 @@ list_slice(a ARRAY<DOUBLE>, lo INT, hi INT) ARRAY<DOUBLE> = if(greatest(if(lo <
 list_sort(a ARRAY<DOUBLE>) ARRAY<DOUBLE> = sort_array(a) ;; list_sort(array(l_quantity, l_tax, l_discount)) ;; list_sort([l_quantity, l_tax, l_discount])
 list_contains(a ARRAY<DOUBLE>, v DOUBLE) BOOLEAN = exists(a, x -> x <=> v) ;; list_contains(sequence(1L, l_linenumber), 3) ;; l_linenumber >= 3
 list_reverse(a ARRAY<DOUBLE>) ARRAY<DOUBLE> = reverse(a) ;; list_reverse(array(l_quantity, l_tax)) ;; [l_tax, l_quantity]
-list_sum(a ARRAY<DOUBLE>) DOUBLE = aggregate(filter(a, x -> x IS NOT NULL), 0D, (s, x) -> s + x) ;; list_sum(sequence(1L, l_linenumber)) ;; CAST(l_linenumber * (l_linenumber + 1) / 2 AS DOUBLE)
-list_product(a ARRAY<DOUBLE>) DOUBLE = aggregate(filter(a, x -> x IS NOT NULL), 1D, (s, x) -> s * x) ;; list_product(sequence(1L, l_linenumber)) ;; CAST(factorial(l_linenumber) AS DOUBLE)
+list_sum(a ARRAY<DOUBLE>) DOUBLE = aggregate(a, 0D, (s, x) -> s + coalesce(x, 0D)) ;; list_sum(sequence(1L, l_linenumber)) ;; CAST(l_linenumber * (l_linenumber + 1) / 2 AS DOUBLE)
+list_product(a ARRAY<DOUBLE>) DOUBLE = aggregate(a, 1D, (s, x) -> s * coalesce(x, 1D)) ;; list_product(sequence(1L, l_linenumber)) ;; CAST(factorial(l_linenumber) AS DOUBLE)
 list_count(a ARRAY<DOUBLE>) INT = size(filter(a, x -> x IS NOT NULL)) ;; list_count(array(l_quantity, NULL)) ;; 1
-list_avg(a ARRAY<DOUBLE>) DOUBLE = if(size(filter(a, x -> x IS NOT NULL)) = 0, NULL, aggregate(filter(a, x -> x IS NOT NULL), 0D, (s, x) -> s + x) / size(filter(a, x -> x IS NOT NULL))) ;; list_avg(sequence(1L, l_linenumber)) ;; (l_linenumber + 1) / 2
+list_avg(a ARRAY<DOUBLE>) DOUBLE = aggregate(a, named_struct('s', 0D, 'n', 0D), (t, x) -> if(x IS NULL, t, named_struct('s', t.s + x, 'n', t.n + 1D)), t -> try_divide(t.s, t.n)) ;; list_avg(sequence(1L, l_linenumber)) ;; (l_linenumber + 1) / 2
 list_min(a ARRAY<DOUBLE>) DOUBLE = array_min(a) ;; list_min(array(l_quantity, l_tax)) ;; least(l_quantity, l_tax)
 list_max(a ARRAY<DOUBLE>) DOUBLE = array_max(a) ;; list_max(array(l_quantity, l_tax)) ;; greatest(l_quantity, l_tax)
 array_dims(a ARRAY<DOUBLE>) STRING = if(size(a) = 0, NULL, concat('[1:', size(a), ']')) ;; array_dims(sequence(1L, l_linenumber)) ;; '[1:' || l_linenumber || ']'
@@ -54,9 +57,9 @@ vec_dot(a ARRAY<FLOAT>, b ARRAY<FLOAT>) DOUBLE = aggregate(zip_with(a, b, (x, y)
 vec_distance_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>) DOUBLE = coalesce(1D - try_divide(vec_dot(a, b), sqrt(vec_dot(a, a)) * sqrt(vec_dot(b, b))), double('NaN')) ;; round(vec_distance_cosine(embedding, reverse(embedding)), 5) ;; round(1 - list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 5)
 vec_add(a ARRAY<FLOAT>, b ARRAY<FLOAT>) ARRAY<FLOAT> = zip_with(a, b, (x, y) -> float(x + y)) ;; round(element_at(vec_add(embedding, embedding), 3), 5) ;; round(embedding[3] + embedding[3], 5)
 vec_sub(a ARRAY<FLOAT>, b ARRAY<FLOAT>) ARRAY<FLOAT> = zip_with(a, b, (x, y) -> float(x - y)) ;; element_at(vec_sub(embedding, embedding), 3) ;; 0::FLOAT
-vec_normalize(v ARRAY<FLOAT>) ARRAY<FLOAT> = transform(v, x -> float(try_divide(double(x), sqrt(vec_dot(v, v))))) ;; round(vec_dot(vec_normalize(embedding), vec_normalize(embedding)), 4) ;; 1.0::DOUBLE
+vec_normalize(v ARRAY<FLOAT>) ARRAY<FLOAT> = element_at(transform(array(sqrt(vec_dot(v, v))), n -> transform(v, x -> float(try_divide(double(x), n)))), 1) ;; round(vec_dot(vec_normalize(embedding), vec_normalize(embedding)), 4) ;; 1.0::DOUBLE
 vec_slice(v ARRAY<FLOAT>, lo INT, hi INT) ARRAY<FLOAT> = slice(v, least(greatest(if(lo < 0, lo + size(v), lo), 0), size(v)) + 1, greatest(least(greatest(if(hi < 0, hi + size(v), hi), 0), size(v)) - least(greatest(if(lo < 0, lo + size(v), lo), 0), size(v)), 0)) ;; size(vec_slice(embedding, 2, -2)) ;; len(embedding) - 4
-vec_quantize_int8(v ARRAY<FLOAT>) ARRAY<INT> = transform(v, x -> int(round(double(x) * 127 / array_max(transform(v, y -> abs(double(y))))))) ;; array_max(transform(vec_quantize_int8(embedding), x -> abs(x))) ;; 127
+vec_quantize_int8(v ARRAY<FLOAT>) ARRAY<INT> = element_at(transform(array(array_max(transform(v, y -> abs(double(y))))), m -> transform(v, x -> int(round(double(x) * 127 / m)))), 1) ;; array_max(transform(vec_quantize_int8(embedding), x -> abs(x))) ;; 127
 vec_quantize_binary(v ARRAY<FLOAT>) STRING = array_join(transform(v, x -> if(x > 0, '1', '0')), '') ;; length(vec_quantize_binary(embedding)) ;; len(embedding)
 minhash_jaccard(a ARRAY<BIGINT>, b ARRAY<BIGINT>) DOUBLE = aggregate(zip_with(a, b, (x, y) -> if(x = y, 1D, 0D)), 0D, (s, x) -> s + x) / size(a)
 """)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,10 @@ LINE = re.compile(r"(\w+)\((.*?)\)\s+([A-Z][A-Za-z<>_:, ()0-9]*?)\s+=\s+(.+)", r
 
 @dataclass(frozen=True)
 class Function:
-    """One of body (SQL) or kernel; neither for a built-in.  call and oracle: a sample call and DuckDB's equal."""
+    """One of body (SQL) or kernel; neither for a built-in.  call and oracle: a sample call and DuckDB's equal.
+
+    whole: the kernel takes whole columns as NumPy arrays, not cell by cell.
+    """
 
     name: str
     family: str
@@ -32,6 +36,7 @@ class Function:
     kernel: Callable | None = None
     call: str = ""
     oracle: str = ""
+    whole: bool = False
 
 
 def parse(family: str, lines: str) -> list[Function]:
@@ -56,6 +61,11 @@ def kernel(family: str, name: str, returns: str, f: Callable, nulls: bool = Fals
     return Function(name, family, returns=returns, kernel=_null_safe(f) if not nulls else f)
 
 
+def columns(family: str, name: str, returns: str, f: Callable, call: str = "", oracle: str = "") -> Function:
+    """A NumPy function of whole columns of numbers.  A null argument gives null."""
+    return Function(name, family, returns=returns, kernel=f, call=call, oracle=oracle, whole=True)
+
+
 def _null_safe(f: Callable) -> Callable:
     def run(*args):
         return None if any(a is None for a in args) else f(*args)
@@ -73,6 +83,17 @@ def _plain(x):
 def _vectorised(f: Function):
     whole = f.returns.lower() in ("long", "int", "bigint")
 
+    if f.whole:
+        kind = np.int64 if whole else np.float64
+
+        @F.pandas_udf(f.returns)
+        def run_whole(*columns: pd.Series) -> pd.Series:
+            null = np.logical_or.reduce([c.isna().to_numpy() for c in columns])
+            got = f.kernel(*(c.fillna(1).to_numpy().astype(kind) for c in columns))
+            return pd.Series(got, dtype="Int64" if whole else "Float64").mask(null)
+
+        return run_whole
+
     @F.pandas_udf(f.returns)
     def run(*columns: pd.Series) -> pd.Series:
         rows = zip(*([_plain(x) for x in c] if c.dtype.kind in "fO" else c.tolist() for c in columns), strict=True)

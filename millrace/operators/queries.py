@@ -72,10 +72,6 @@ SQL: dict[str, tuple[str, str] | str] = {
     "bench_agg": "SELECT l_partkey % 10 AS bucket, count(*) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY l_partkey % 10",
     "bench_join": "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey",
     "bench_read": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 97 = 3",
-    "agg_stats": (
-        "SELECT l_returnflag, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss, round(covar_pop(l_tax, l_discount), 9) AS cp, round(covar_samp(l_tax, l_discount), 9) AS cs, median(l_quantity) AS med, round(percentile(l_extendedprice, 0.9), 4) AS p90, percentile_disc(0.25) WITHIN GROUP (ORDER BY l_extendedprice) AS d25 FROM lineitem GROUP BY l_returnflag",
-        "SELECT l_returnflag, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss, round(covar_pop(l_tax, l_discount), 9) AS cp, round(covar_samp(l_tax, l_discount), 9) AS cs, median(l_quantity) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, quantile_disc(l_extendedprice, 0.25) AS d25 FROM lineitem GROUP BY l_returnflag",
-    ),
     "agg_regression": "SELECT l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS icpt, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2, regr_count(l_extendedprice, l_quantity) AS n, round(regr_avgx(l_extendedprice, l_quantity), 6) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 6) AS ay, round(regr_sxx(l_extendedprice, l_quantity), 2) AS sxx, round(regr_sxy(l_extendedprice, l_quantity), 0) AS sxy FROM lineitem GROUP BY l_linestatus",
     "agg_bits": "SELECT o_orderpriority, bit_and(o_custkey) AS a, bit_or(o_custkey) AS o, bit_xor(o_custkey) AS x FROM orders GROUP BY o_orderpriority",
     "agg_approx": ("SELECT abs(approx_count_distinct(l_partkey, 0.0081) - count(DISTINCT l_partkey)) <= 0.05 * count(DISTINCT l_partkey) AS hll, abs(hll_sketch_estimate(hll_sketch_agg(l_partkey, 14)) - count(DISTINCT l_partkey)) <= 0.05 * count(DISTINCT l_partkey) AS sketch, abs(percentile_approx(l_quantity, 0.5, 1000) - 25) <= 2 AS median FROM lineitem", "SELECT true AS hll, true AS sketch, true AS median"),
@@ -111,18 +107,36 @@ def asof(spark, d):
 
 
 def closure(spark, d):
-    return R.closure(spark.sql("SELECT id div 2 AS p, id AS c FROM range(2, 200)"), "p", "c", 3)
+    """Customers below number 3 of a tree in which customer k is a child of k div 2."""
+    return R.closure(table(spark, d, "customer").select(F.expr("c_custkey div 2").alias("p"), F.col("c_custkey").alias("c")), "p", "c", 3)
+
+
+#: Moments of three groups; median of a column of few different values, so its aggregate stays small.
+STATS_SQL = (
+    "SELECT l_returnflag, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss,"
+    " round(covar_pop(l_tax, l_discount), 9) AS cp, round(covar_samp(l_tax, l_discount), 9) AS cs, median(l_quantity) AS med FROM lineitem GROUP BY l_returnflag"
+)
+
+
+def stats(spark, d):
+    prices = R.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p90": ("cont", 0.9), "d25": ("disc", 0.25)})
+    return _sql_query(STATS_SQL)(spark, d).join(prices.withColumn("p90", F.round("p90", 4)), "l_returnflag")
+
+
+def big_groups(spark, d):
+    """The same percentiles with brackets that are narrowed, as groups beyond the limit are."""
+    found = R.percentiles(table(spark, d, "lineitem"), ["l_linestatus"], "l_extendedprice", {"low": ("cont", 0.001), "mid": ("cont", 0.5), "high": ("disc", 0.99)}, limit=100, buckets=50)
+    return found.select("l_linestatus", *(F.round(c, 4).alias(c) for c in ("low", "mid", "high")))
 
 
 def groups(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
-    return R.groups_frame(o, ["o_orderpriority"], "day", 1, 1, F.count(F.lit(1)), "n").select("o_orderkey", "n")
+    return R.groups_frame(o, ["o_orderpriority"], "day", 1, 1, "count", "*", "n").select("o_orderkey", "n")
 
 
 def exclude(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("v"))
-    for kind, name in (("current row", "cur"), ("group", "grp"), ("ties", "tie")):
-        o = R.sum_excluding(o, ["o_orderpriority"], "day", "v", name, kind)
+    o = R.sum_excluding(o, ["o_orderpriority"], "day", "v", {"cur": "current row", "grp": "group", "tie": "ties"})
     return o.select("o_orderkey", "cur", "grp", "tie")
 
 
@@ -140,7 +154,7 @@ def strings_of(spark, d):
 
 
 def minhash_pairs(spark, d):
-    """Pairs of source labels of the documents by the likeness of their sets of word lengths, exact beside the sketch."""
+    """Pairs of order priorities whose sets of customers are alike by their minima of 128 hashes."""
     words = table(spark, d, "orders").select("o_orderpriority", F.col("o_custkey").alias("w"))
     s = words.groupBy("o_orderpriority").agg(A.minhash("w", 128).alias("m"))
     a, b = s.select(F.col("o_orderpriority").alias("a"), F.col("m").alias("ma")), s.select(F.col("o_orderpriority").alias("b"), F.col("m").alias("mb"))
@@ -149,18 +163,20 @@ def minhash_pairs(spark, d):
 
 
 def vec_knn(spark, d):
-    """Ten nearest rows of every 100th vector by cosine distance: the queries, a bounded share, go in one broadcast block at this scale."""
+    """Ten nearest rows of every 50th vector by cosine distance."""
     from millrace.operators.search import knn
 
     e = table(spark, d, "embeddings")
-    return knn(e.where("vec_id % 100 = 0"), e, 10, "cosine").select("query_id", "rank", "vec_id")
+    return knn(e.where("vec_id % 50 = 0"), e, 10, "cosine").select("query_id", "rank", "vec_id")
 
 
 CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "flagship": (flagship, FLAGSHIP_SQL),
     "rel_interval_join": (interval, "WITH s AS (SELECT p_brand, min(p_retailprice) AS low, min(p_retailprice) + 25 AS high FROM part GROUP BY p_brand) SELECT p_partkey, s.p_brand FROM part AS p JOIN s ON p.p_retailprice >= low AND p.p_retailprice < high"),
     "rel_asof_join": (asof, "SELECT event_id, click_id FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') AS b ASOF LEFT JOIN (SELECT user_id, ts AS click_ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL) AS c ON b.user_id = c.user_id AND b.ts >= c.click_ts"),
-    "rel_closure": (closure, "WITH RECURSIVE r(id, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION ALL SELECT c.id, r.depth + 1 FROM r JOIN (SELECT range AS id FROM range(2, 200)) AS c ON c.id // 2 = r.id) SELECT id, depth FROM r"),
+    "rel_closure": (closure, "WITH RECURSIVE r(id, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION ALL SELECT c.id, r.depth + 1 FROM r JOIN (SELECT c_custkey AS id FROM customer) AS c ON c.id // 2 = r.id) SELECT id, depth FROM r"),
+    "agg_stats": (stats, STATS_SQL.replace(" FROM lineitem", ", round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, quantile_disc(l_extendedprice, 0.25) AS d25 FROM lineitem")),
+    "agg_percentiles": (big_groups, "SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.001), 4) AS low, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, round(quantile_disc(l_extendedprice, 0.99), 4) AS high FROM lineitem GROUP BY 1"),
     "win_groups_frame": (groups, "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM orders"),
     "win_exclude": (exclude, "SELECT o_orderkey, CAST(coalesce(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), 0) AS BIGINT) AS cur, CAST(coalesce(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS BIGINT) AS grp, CAST(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS BIGINT) AS tie FROM orders"),
     "win_top_k": (lambda s, d: R.top_k(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3), "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3"),
@@ -174,7 +190,7 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "tvf_json_tree": (lambda s, d: G.json_tree(table(s, d, "events").select("event_id", "props"), "props").select("event_id", "path", "type", "atom"), "SELECT event_id, fullkey AS path, CASE lower(type) WHEN 'object' THEN 'object' ELSE 'integer' END AS type, CAST(atom AS VARCHAR) AS atom FROM events, json_tree(props)"),
     "tvf_gap_fill": (lambda s, d: G.gap_fill_series(s, "2024-01-01 00:30:00", "2024-01-02 00:00:00", "1 hour"), "SELECT bucket FROM generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-01 23:00:00', INTERVAL 1 HOUR) AS g(bucket)"),
     "ts_gap_fill": (lambda s, d: W.gap_fill(table(s, d, "events").withColumn("value", F.round("value", 2)), "event_type", "ts", "value", "6 hours").withColumn("value", F.round("value", 2)), "WITH b AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS bucket, sum(round(value, 2)) AS value FROM events GROUP BY ALL), s AS (SELECT event_type, unnest(generate_series(min(bucket), max(bucket), INTERVAL 6 HOUR)) AS bucket FROM b GROUP BY event_type) SELECT event_type, bucket, round(value, 2) AS value FROM s LEFT JOIN b USING (event_type, bucket)"),
-    "vec_knn": (vec_knn, "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), r AS (SELECT q.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_inner_product(q.v, b.v) / (q.l * b.l), 9), b.vec_id) AS rank FROM n AS q JOIN n AS b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id FROM r WHERE rank <= 10"),
+    "vec_knn": (vec_knn, "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), r AS (SELECT q.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_inner_product(q.v, b.v) / (q.l * b.l), 9), b.vec_id) AS rank FROM n AS q JOIN n AS b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id FROM r WHERE rank <= 10"),
 }
 
 

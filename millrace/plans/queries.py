@@ -34,10 +34,22 @@ FROM r, s WHERE a > 0 OR b > 0 ORDER BY score DESC, doc_id LIMIT 20"""
 
 
 def kernels_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text kernels over the benchmark items: string distances, sentences and stems."""
-    install(spark, ["jaro_winkler", "damerau_levenshtein", "sentence_count", "sentiment_label", "stem", "unicode_slugify"])
-    t = table(spark, sf_dir, "benchmark")
-    return t.select("item_id", F.expr("round(jaro_winkler(left(text, 20), 'the general theorem'), 6) AS jw"), F.expr("damerau_levenshtein(left(text, 12), 'reference') AS dl"), F.expr("sentence_count(text) AS sentences"), F.expr("sentiment_label(text) AS mood"), F.expr("stem(split(text, ' ')[0]) AS stem"), F.expr("unicode_slugify(left(text, 16)) AS slug"))
+    """Text kernels over whole documents."""
+    install(spark, ["sentence_count", "sentiment_label", "unicode_slugify"])
+    t = table(spark, sf_dir, "documents")
+    return t.select("doc_id", F.expr("sentence_count(text) AS sentences"), F.expr("sentiment_label(text) AS mood"), F.expr("unicode_slugify(text) AS slug"))
+
+
+def kernels_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String distances over a column of short texts."""
+    install(spark, ["jaro_winkler", "damerau_levenshtein"])
+    t = table(spark, sf_dir, "part")
+    return t.select("p_partkey", F.expr("round(jaro_winkler(p_type, 'STANDARD POLISHED TIN'), 6) AS jw"), F.expr("damerau_levenshtein(p_type, 'PROMO BRASS') AS dl"))
+
+
+#: DuckDB's own jaro_winkler_similarity adds for a common prefix only above 0.7.
+DISTANCE_SQL = """SELECT p_partkey, round(j + 0.1 * n * (1 - j), 6) AS jw, damerau_levenshtein(p_type, 'PROMO BRASS') AS dl
+FROM (SELECT p_partkey, p_type, jaro_similarity(p_type, 'STANDARD POLISHED TIN') AS j, len(list_filter(range(1, 5), lambda k: left(p_type, k) = left('STANDARD POLISHED TIN', k))) AS n FROM part) AS t"""
 
 
 def kernels_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +59,19 @@ def kernels_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernels_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    install(spark, ["nt_is_prime", "nt_totient", "nt_next_prime", "nt_factorize", "nt_gcd"])
+    install(spark, ["nt_is_prime", "nt_totient", "nt_next_prime", "nt_factorize"])
     t = table(spark, sf_dir, "orders")
-    return t.select("o_orderkey", *(F.expr(f"{f}(o_orderkey) AS {f}") for f in ("nt_is_prime", "nt_totient", "nt_next_prime", "nt_factorize")), F.expr("nt_gcd(o_orderkey, o_custkey) AS nt_gcd"))
+    return t.select("o_orderkey", *(F.expr(f"{f}(o_orderkey) AS {f}") for f in ("nt_is_prime", "nt_totient", "nt_next_prime", "nt_factorize")))
+
+
+def kernels_divisor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    install(spark, ["nt_is_prime", "nt_gcd", "nt_lcm", "nt_modpow"])
+    t = table(spark, sf_dir, "orders")
+    return t.select("o_orderkey", *(F.expr(f"{f} AS {n}") for n, f in (("prime", "nt_is_prime(o_orderkey)"), ("divisor", "nt_gcd(o_orderkey, o_custkey)"), ("multiple", "nt_lcm(o_orderkey, o_custkey)"), ("square", "nt_modpow(o_orderkey, 2, 1009)"))))
+
+
+DIVISOR_SQL = """SELECT o_orderkey, CAST(o_orderkey > 1 AND len(list_filter(range(2, CAST(floor(sqrt(o_orderkey)) AS BIGINT) + 1), lambda k: o_orderkey % k = 0)) = 0 AS BIGINT) AS prime,
+  gcd(o_orderkey, o_custkey) AS divisor, lcm(o_orderkey, o_custkey) AS multiple, o_orderkey * o_orderkey % 1009 AS square FROM orders"""
 
 
 def kernels_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +93,10 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "search_bm25": (bm25, BM25_SQL),
     "search_spellfix": (lambda s, d: search.spellfix(table(s, d, "part"), "p_type", "STANDARD POLISHED TIN", 8), "SELECT word, distance FROM (SELECT DISTINCT p_type AS word, levenshtein(p_type, 'STANDARD POLISHED TIN') AS distance FROM part) AS t ORDER BY distance, word LIMIT 8"),
     "search_prefix": (lambda s, d: search.by_prefix(table(s, d, "part"), "p_type", "PROMO"), "SELECT DISTINCT p_type FROM part WHERE starts_with(p_type, 'PROMO')"),
-    "search_postings": (lambda s, d: search.postings(table(s, d, "benchmark"), "item_id"), "SELECT term, doc_id, length, count(*) AS tf FROM (SELECT item_id AS doc_id, len(w) AS length, unnest(w) AS term FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS w FROM benchmark) AS a) AS b GROUP BY ALL"),
+    "search_postings": (lambda s, d: search.postings(table(s, d, "documents")), "SELECT term, doc_id, length, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS w FROM documents) AS a) AS b GROUP BY ALL"),
     "kernel_text": (kernels_text, None),
+    "kernel_distance": (kernels_distance, DISTANCE_SQL),
+    "kernel_divisor": (kernels_divisor, DIVISOR_SQL),
     "kernel_hash": (kernels_hash, None),
     "kernel_number": (kernels_number, None),
     "kernel_json": (kernels_json, "SELECT event_id, CAST('{\"k\":' || (props::JSON->>'k') || ',\"n\":\"x\"}' AS VARCHAR) AS a, '{}' AS b, '{\"z\":1}' AS c, 'integer' AS d FROM events"),
