@@ -31,6 +31,7 @@ TABLES = {
     "codec": ("customer", "c_custkey"),
     "url": ("pages", "page_id"),
     "geo": ("supplier", "s_suppkey"),
+    "spatial": ("supplier", "s_suppkey"),
 }
 
 

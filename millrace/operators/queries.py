@@ -25,6 +25,8 @@ SQL: dict[str, tuple[str, str] | str] = {
     "rel_scalar_subquery": "SELECT o_orderkey FROM orders AS o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders AS i WHERE i.o_orderpriority = o.o_orderpriority)",
     "rel_like": "SELECT p_partkey FROM part WHERE p_type ILIKE '%brass' OR p_name LIKE '%1_'",
     "rel_regexp": ("SELECT p_partkey FROM part WHERE p_brand RLIKE '^Brand#[12][35]$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#[12][35]$')"),
+    "rel_escape": "SELECT p_partkey FROM part WHERE concat(p_brand, '_', p_size) LIKE 'Brand_1_!_1%' ESCAPE '!'",
+    "rel_collate_rtrim": ("SELECT count(*) AS n FROM customer WHERE concat(c_mktsegment, '  ') = 'BUILDING' COLLATE UTF8_BINARY_RTRIM", "SELECT count(*) AS n FROM customer WHERE rtrim(c_mktsegment || '  ') = 'BUILDING'"),
     "rel_collate": ("SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'building' COLLATE UTF8_LCASE", "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'building' COLLATE NOCASE"),
     "rel_case_cast": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code, CAST(o_totalprice AS BIGINT) - CAST(o_totalprice AS BIGINT) AS zero, coalesce(nullif(o_orderstatus, 'P'), 'none') AS st FROM orders",
     "rel_inner_join": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
@@ -162,6 +164,51 @@ def minhash_pairs(spark, d):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (near > 0.5).alias("alike"))
 
 
+def sketches(spark, d):
+    """Whether the sketches' answers lie within their bounds of the exact ones."""
+    lines = table(spark, d, "lineitem")
+    digest = A.t_digest(lines, ["l_returnflag"], "l_extendedprice").select("l_returnflag", *(A.t_digest_quantile(F.col("digest"), q).alias(f"q{i}") for i, q in enumerate((0.01, 0.5, 0.99))))
+    ranks = lines.join(F.broadcast(digest), "l_returnflag").groupBy("l_returnflag").agg(*(F.avg((F.col("l_extendedprice") <= F.col(f"q{i}")).cast("double")).alias(f"r{i}") for i in range(3)))
+    good = ranks.select("l_returnflag", *((F.abs(F.col(f"r{i}") - q) <= bound).alias(n) for i, (n, q, bound) in enumerate((("low", 0.01, 0.005), ("mid", 0.5, 0.02), ("high", 0.99, 0.005)))))
+    kll = lines.groupBy("l_returnflag").agg(A.kll("l_quantity").alias("s"), A.count_min("l_partkey").alias("c"))
+    return good.join(kll.select("l_returnflag", (F.abs(A.kll_quantile("s", 0.5) - 25) <= 3).alias("kll"), (F.length("c") > 0).alias("counts")), "l_returnflag")
+
+
+def top_items(spark, d):
+    found = table(spark, d, "lineitem").agg(A.approx_top_k("l_suppkey", 1000).alias("t")).select(F.explode("t").alias("t"))
+    return found.select(F.col("t.item").alias("l_suppkey"), F.col("t.count").alias("n"))
+
+
+def decimals(spark, d):
+    return table(spark, d, "lineitem").withColumn("t", F.format_string("%.2f", "l_extendedprice")).groupBy("l_returnflag").agg(A.decimal_sum("t").alias("total"))
+
+
+def dml(kind: str):
+    """The rows of nation after a change, with those that RETURNING shows marked."""
+    from millrace.operators import changes as C
+
+    def run(spark, d):
+        nation = table(spark, d, "nation")
+        if kind == "update":
+            new, shown = C.update(nation, "n_regionkey = 1", {"n_name": "concat(n_name, '!')", "n_regionkey": "n_regionkey + 10"})
+        elif kind == "delete":
+            new, shown = C.delete(nation, "n_regionkey IN (0, 3)")
+        elif kind == "insert":
+            new, shown = C.insert(nation, spark.sql("SELECT 90 AS n_nationkey, 'NEW' AS n_name"))
+        else:
+            rows = spark.sql("SELECT 3 AS n_nationkey, 'THREE' AS n_name, 9 AS n_regionkey UNION ALL SELECT 77, 'MORE', 8")
+            new, shown = C.upsert(nation, rows, "n_nationkey", {"n_name": "concat(old.n_name, '/', new.n_name)"})
+        return new.withColumn("shown", F.lit(False)).unionAll(shown.withColumn("shown", F.lit(True)))
+
+    return run
+
+
+def matched(spark, d):
+    from millrace.operators.search import match
+
+    return match(table(spark, d, "documents"), "the licen* NOT und OR released").select("doc_id")
+
+
 def vec_knn(spark, d):
     """Ten nearest rows of every 50th vector by cosine distance."""
     from millrace.operators.search import knn
@@ -177,6 +224,14 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "rel_closure": (closure, "WITH RECURSIVE r(id, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION ALL SELECT c.id, r.depth + 1 FROM r JOIN (SELECT c_custkey AS id FROM customer) AS c ON c.id // 2 = r.id) SELECT id, depth FROM r"),
     "agg_stats": (stats, STATS_SQL.replace(" FROM lineitem", ", round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, quantile_disc(l_extendedprice, 0.25) AS d25 FROM lineitem")),
     "agg_percentiles": (big_groups, "SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.001), 4) AS low, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, round(quantile_disc(l_extendedprice, 0.99), 4) AS high FROM lineitem GROUP BY 1"),
+    "agg_sketches": (sketches, "SELECT DISTINCT l_returnflag, true AS low, true AS mid, true AS high, true AS kll, true AS counts FROM lineitem"),
+    "agg_top_items": (top_items, "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1"),
+    "agg_decimal_sum": (decimals, "SELECT l_returnflag, regexp_replace(regexp_replace(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS total FROM lineitem GROUP BY 1"),
+    "dml_update": (dml("update"), "WITH n AS (SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name || '!' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN 11 ELSE n_regionkey END AS n_regionkey FROM nation) SELECT *, false AS shown FROM n UNION ALL SELECT *, true FROM n WHERE n_regionkey = 11"),
+    "dml_delete": (dml("delete"), "SELECT *, n_regionkey IN (0, 3) AS shown FROM nation"),
+    "dml_insert": (dml("insert"), "SELECT *, false AS shown FROM nation UNION ALL SELECT 90, 'NEW', NULL, s FROM (VALUES (true), (false)) AS v(s)"),
+    "dml_upsert": (dml("upsert"), "WITH n AS (SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN n_name || '/THREE' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 77, 'MORE', 8) SELECT *, false AS shown FROM n UNION ALL SELECT *, true FROM n WHERE n_nationkey IN (3, 77)"),
+    "search_match": (matched, "SELECT doc_id FROM documents WHERE (regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])licen') AND NOT regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])und($|[^\\p{L}\\p{N}])')) OR regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])released($|[^\\p{L}\\p{N}])')"),
     "win_groups_frame": (groups, "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM orders"),
     "win_exclude": (exclude, "SELECT o_orderkey, CAST(coalesce(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), 0) AS BIGINT) AS cur, CAST(coalesce(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS BIGINT) AS grp, CAST(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS BIGINT) AS tie FROM orders"),
     "win_top_k": (lambda s, d: R.top_k(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3), "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3"),

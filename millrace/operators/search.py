@@ -152,6 +152,26 @@ def bm25(docs: DataFrame, query: list[str], k: int = 10, k1: float = 1.2, b: flo
     return rows.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats)).select("doc_id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def match(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows whose text has every word of a query, or, after OR, those of another part; `word*` stands for a beginning, NOT leaves out."""
+    low = F.lower(F.col(text))
+
+    def has(word: str) -> Column:
+        end = "" if word.endswith("*") else r"(?![\p{L}\p{N}])"
+        return F.regexp_like(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(word.lower().rstrip('*'))}{end}"))
+
+    wanted = F.lit(False)
+    for part in query.split(" OR "):
+        one, left_out = F.lit(True), False
+        for word in part.split():
+            if word == "NOT":
+                left_out = True
+            elif word != "AND":
+                one, left_out = one & (~has(word) if left_out else has(word)), False
+        wanted = wanted | one
+    return docs.where(wanted)
+
+
 def spellfix(words: DataFrame, word: str, query: str, k: int = 10) -> DataFrame:
     """(word, distance): the k words nearest to a query by edit distance, ties by the word."""
     return words.select(F.col(word).alias("word")).distinct().withColumn("distance", F.levenshtein("word", F.lit(query))).orderBy("distance", "word").limit(k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +28,51 @@ def evaluate(spark: SparkSession, text: str, separator: str = "", limit: int = 1
     return separator.join(str(v) for r in spark.sql(text).limit(limit).collect() for v in r if v is not None)
 
 
+def define_aggregate(spark: SparkSession, name: str, returns: str, f: Callable) -> None:
+    """An aggregate and window function of the session from a function of a group's (or frame's) values as a Series.
+
+    A group is gathered in one task: for frames and groups of a known size.  What sums, counts and extremes can say is
+    better written as an expression of those, which Spark aggregates within tasks first.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.functions import PandasUDFType
+
+    spark.udf.register(name, F.pandas_udf(f, returns, PandasUDFType.GROUPED_AGG))
+
+
 def numbered(df: DataFrame, name: str = "id", start: int = 1) -> DataFrame:
-    """df with consecutive numbers, from the row counts of its partitions: no shuffle, one narrow pass for the counts."""
+    """df with consecutive numbers in the order of its partitions and rows: no shuffle.
+
+    df is written once to the shared folder, so that the counts and the numbers are of the same rows; the offsets, a
+    number for each partition, are broadcast.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from millrace.plans.lineage import cut
+
+    # the high bits of monotonically_increasing_id are the partition, the low 33 count its rows
+    made = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    sizes = made.groupBy(part.alias("_part")).count()
+    before = F.sum("count").over(Window.orderBy("_part")) - F.col("count")
+    offsets = sizes.select("_part", before.alias("_before"))
+    number = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + start
+    return made.join(F.broadcast(offsets), part == F.col("_part")).select(*df.columns, number.cast("long").alias(name))
+
+
+def completion(spark: SparkSession, prefix: str) -> DataFrame:
+    """(candidate, kind) of what begins with a prefix: keywords, functions, tables and their columns, in any case."""
+    from functools import reduce
+
     from pyspark.sql import functions as F
 
-    counts = dict(df.groupBy(F.spark_partition_id().alias("p")).count().collect())
-    first, at = {}, start
-    for p in sorted(counts):
-        first[p] = at
-        at += counts[p]
-    offsets = F.create_map(*(F.lit(x) for kv in (first or {0: start}).items() for x in kv))
-    # the low 33 bits of monotonically_increasing_id count the rows of a partition
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(name, (offsets[F.spark_partition_id()] + row).cast("long"))
+    words = spark.sql("SELECT lower(keyword) AS candidate, 'keyword' AS kind FROM sql_keywords()")
+    names = [(f.name, "function") for f in spark.catalog.listFunctions()]
+    for t in spark.catalog.listTables():
+        names += [(t.name, "table"), *((c, "column") for c in spark.table(t.name).columns)]
+    known = reduce(DataFrame.unionAll, [words, spark.createDataFrame(names, "candidate string, kind string")])
+    return known.where(F.startswith(F.lower("candidate"), F.lit(prefix.lower()))).distinct().orderBy("candidate", "kind")
 
 
 def import_csv(spark: SparkSession, path: str, name: str) -> DataFrame:

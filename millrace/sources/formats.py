@@ -6,9 +6,13 @@ import io
 import json
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,9 +32,23 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path: a URI's own, or the mounted one."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _files(path: str) -> list[str]:
+    """The files of a folder, or the file itself, as paths of its file system."""
+    where, at = _place(path)
+    found = where.get_file_info(at)
+    if found.type != fs.FileType.Directory:
+        return [at]
+    return sorted(f.path for f in where.get_file_info(fs.FileSelector(at)) if f.is_file and not f.base_name.startswith(("_", ".")))
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, index: int):
-        super().__init__(index)
+        super().__init__((path, index))
         self.path, self.index = path, index
 
 
@@ -41,14 +59,19 @@ class _ArrowReader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        with pa.memory_map(self.path) as f:
-            try:
-                return [_Part(self.path, i) for i in range(pa.ipc.open_file(f).num_record_batches)]
-            except pa.ArrowInvalid:
-                return [_Part(self.path, -1)]
+        out = []
+        where, _ = _place(self.path)
+        for p in _files(self.path):
+            with where.open_input_file(p) as f:
+                try:
+                    out += [_Part(p, i) for i in range(pa.ipc.open_file(f).num_record_batches)]
+                except pa.ArrowInvalid:
+                    out.append(_Part(p, -1))
+        return out
 
     def read(self, part) -> Iterator[pa.RecordBatch]:
-        with pa.memory_map(part.path) as f:
+        where, _ = _place(self.path)
+        with where.open_input_file(part.path) as f:
             if part.index < 0:
                 yield from pa.ipc.open_stream(f)
             else:
@@ -56,7 +79,8 @@ class _ArrowReader(DataSourceReader):
 
 
 class ArrowSource(DataSource):
-    """spark.read.format("arrow_ipc").load(path): an Arrow IPC file or stream on a mounted path."""
+    """spark.read.format("arrow_ipc").load(path): Arrow IPC files or streams, one or a folder of them, of any file system
+    that pyarrow opens; a task reads the record batch that it is given."""
 
     @classmethod
     def name(cls) -> str:
@@ -65,7 +89,8 @@ class ArrowSource(DataSource):
     def schema(self):
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        with pa.memory_map(self.options["path"]) as f:
+        where, _ = _place(self.options["path"])
+        with where.open_input_file(_files(self.options["path"])[0]) as f:
             try:
                 found = pa.ipc.open_file(f).schema
             except pa.ArrowInvalid:
@@ -82,6 +107,102 @@ def arrow(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("arrow_ipc").option("path", path).load()
 
 
+def _written(df: DataFrame, folder: str, suffix: str, save: Callable[[Iterator[pa.RecordBatch], pa.NativeFile], int]) -> int:
+    """One file for each partition of df, under its number; the number of rows.
+
+    A file is written under another name and moved, so a task that is run again replaces its file, never half of it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        where, at = _place(folder)
+        name = f"part-{task.partitionId():06d}{suffix}"
+        with where.open_output_stream(f"{at}/_{name}.{task.taskAttemptId()}") as f:
+            n = save(batches, f)
+        where.move(f"{at}/_{name}.{task.taskAttemptId()}", f"{at}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    where, at = _place(folder)
+    where.create_dir(at)
+    return df.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_arrow(df: DataFrame, folder: str) -> int:
+    """df as a folder of Arrow IPC files, one a partition; the number of rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+
+    def save(batches: Iterator[pa.RecordBatch], f: pa.NativeFile) -> int:
+        n = 0
+        with pa.ipc.new_file(f, schema) as w:
+            for b in batches:
+                w.write_batch(b.cast(schema))
+                n += b.num_rows
+        return n
+
+    return _written(df, folder, ".arrow", save)
+
+
+def write_archives(df: DataFrame, folder: str, kind: str = "zip") -> int:
+    """(name, data) rows as entries of zip or tar archives, one archive a partition; the number of entries.
+
+    A null data is a directory.  Archives are built one entry at a time.
+    """
+    def save(batches: Iterator[pa.RecordBatch], f: pa.NativeFile) -> int:
+        n = 0
+        out = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) if kind == "zip" else tarfile.open(fileobj=f, mode="w|")
+        with out:
+            for b in batches:
+                for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if kind == "zip":
+                        out.writestr(name if data is not None else name.rstrip("/") + "/", data or b"")
+                    else:
+                        info = tarfile.TarInfo(name)
+                        info.type, info.size = (tarfile.DIRTYPE, 0) if data is None else (tarfile.REGTYPE, len(data))
+                        out.addfile(info, io.BytesIO(data or b""))
+                    n += 1
+        return n
+
+    return _written(df.select(F.col("name").cast("string"), F.col("data").cast("binary")), folder, f".{kind}", save)
+
+
+def excel(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """(path, row, cells) of a worksheet of the .xlsx files that a path or pattern names; cells are text, null where empty.
+
+    A file is one row of binaryFile and is unpacked in its task; rows come out one by one.
+    """
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = list(_sheet_rows(content, sheet, space))
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["path", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row long, cells array<string>")
+
+
+def _sheet_rows(content: bytes, sheet: int, space: str) -> Iterator[tuple[int, list]]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in s.iter(f"{space}t")) for s in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot().iter(f"{space}si")]
+        number = 0
+        for _, row in ElementTree.iterparse(z.open(f"xl/worksheets/sheet{sheet}.xml")):
+            if row.tag != f"{space}row":
+                continue
+            number, cells = int(row.get("r", number + 1)), []
+            for c in row.iter(f"{space}c"):
+                letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                column = reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0) - 1 if letters else len(cells)
+                cells += [None] * (column - len(cells))
+                v, inline = c.find(f"{space}v"), c.find(f"{space}is")
+                text = "".join(t.text or "" for t in inline.iter(f"{space}t")) if inline is not None else v.text if v is not None else None
+                cells.append(shared[int(text)] if c.get("t") == "s" and text is not None else text)
+            yield number, cells
+            row.clear()
+
+
 def _entries(kind: str):
     def run(batches):
         for b in batches:

@@ -142,8 +142,8 @@ def test_sketch_functions(spark):
     assert sql(spark, "SELECT hll_cardinality(hll_merge(hll_sketch_agg(id, 14), hll_sketch_agg(id + 500, 14))) AS n FROM range(1000)").first()["n"] == pytest.approx(1500, rel=0.05)
     from millrace.operators import aggregates
 
-    sketch = spark.range(1001).agg(aggregates.t_digest("id").alias("s"))
-    assert sketch.select(aggregates.t_digest_quantile("s", 0.5).alias("q")).first()["q"] == pytest.approx(500, abs=20)
+    sketch = spark.range(1001).agg(aggregates.kll("id").alias("s"))
+    assert sketch.select(aggregates.kll_quantile("s", 0.5).alias("q")).first()["q"] == pytest.approx(500, abs=20)
 
 
 def test_phonetics():

@@ -5,10 +5,11 @@ import pytest
 from millrace.functions import queries as functions
 from millrace.operators import queries as operators
 from millrace.plans import queries as plans
+from millrace.sources import queries as sources
 from millrace.streaming import queries as streaming
 from tests.oracle import FOLDER, database, same
 
-CASES = [(m, n) for m in (operators, functions, plans, streaming) for n in m.oracle_sql()]
+CASES = [(m, n) for m in (operators, functions, plans, sources, streaming) for n in m.oracle_sql()]
 
 
 @pytest.fixture(scope="module")
