@@ -98,7 +98,7 @@ safe_cast_double(s STRING) DOUBLE = try_cast(s AS DOUBLE)
 gen_random_uuid() STRING = uuid()
 generate_uuid() STRING = uuid()
 uuidv4() STRING = uuid()
-uuid_variant(u STRING) STRING = CASE WHEN substr(lower(u), 20, 1) IN ('8', '9', 'a', 'b') THEN 'RFC4122' WHEN substr(lower(u), 20, 1) RLIKE '[0-7]' THEN 'NCS' WHEN substr(lower(u), 20, 1) IN ('c', 'd') THEN 'Microsoft' ELSE 'Future' END
+uuid_variant(u STRING) STRING = CASE WHEN substr(lower(u), 20, 1) IN ('8', '9', 'a', 'b') THEN 'rfc4122' WHEN substr(lower(u), 20, 1) RLIKE '[0-7]' THEN 'ncs' WHEN substr(lower(u), 20, 1) IN ('c', 'd') THEN 'microsoft' ELSE 'future' END
 uuid_timestamp_ms(u STRING) BIGINT = if(uuid_version(u) = 7, uuid_v7_timestamp(u), NULL)
 aes_gcm_encrypt(k BINARY, p BINARY, n BINARY, a BINARY DEFAULT X'') BINARY = substring(aes_encrypt(p, k, 'GCM', 'DEFAULT', n, a), 13)
 aes_gcm_decrypt(k BINARY, c BINARY, n BINARY, a BINARY DEFAULT X'') BINARY = try_aes_decrypt(concat(n, c), k, 'GCM', 'DEFAULT', a)
@@ -107,16 +107,19 @@ aes_cbc_decrypt(k BINARY, iv BINARY, c BINARY) BINARY = try_aes_decrypt(concat(i
 zorder(x BIGINT, y BIGINT) BIGINT = zorder2(x, y)
 unzorder(z BIGINT, n INT, k INT) BIGINT = aggregate(sequence(0, 62 div n), 0L, (a, i) -> a | shiftleft(shiftright(z, int(n * i + k)) & 1L, int(i)))
 hexdump_compact(b BINARY) STRING = lower(hex(b))
-sha1_hex(s STRING) STRING = sha1(s)
-vat_normalize(s STRING) STRING = upper(regexp_replace(s, '[^A-Za-z0-9]', ''))
+sha1_hex(s STRING) STRING = sha1(coalesce(s, ''))
+vat_normalize(s STRING) STRING = if(upper(regexp_replace(s, '[^A-Za-z0-9]', '')) RLIKE '^[A-Z]{2}[0-9A-Z]{2,12}$', upper(regexp_replace(s, '[^A-Za-z0-9]', '')), NULL)
 vat_country(s STRING) STRING = left(vat_normalize(s), 2)
 vat_is_valid_shape(s STRING) INT = CAST(vat_normalize(s) RLIKE '^(AT)?U[0-9]{8}$|^BE[01][0-9]{9}$|^DE[0-9]{9}$|^DK[0-9]{8}$|^ES[A-Z0-9][0-9]{7}[A-Z0-9]$|^FR[A-Z0-9]{2}[0-9]{9}$|^GB[0-9]{9}([0-9]{3})?$|^IT[0-9]{11}$|^NL[0-9]{9}B[0-9]{2}$|^PL[0-9]{10}$|^SE[0-9]{12}$' AS INT)
 utm_zone(lat DOUBLE, lon DOUBLE) INT = int(floor((lon + 180) / 6)) % 60 + 1
 """)
 
 
-def hkdf(key: bytes, salt: bytes, info: bytes, length: int, algorithm: str = "sha256") -> bytes:
-    """RFC 5869: extract, then expand."""
+def hkdf(key: bytes, salt: bytes | None, info: bytes | None, length: int, algorithm: str = "sha256") -> bytes | None:
+    """RFC 5869: extract, then expand; a null salt or info counts as empty, null for a length that the standard has not."""
+    if key is None or length is None or not 0 < length <= 255 * hashlib.new(algorithm).digest_size:
+        return None
+    key, salt, info = (x.encode() if isinstance(x, str) else x or b"" for x in (key, salt, info))
     prk = hmac.new(bytes(salt) or bytes(hashlib.new(algorithm).digest_size), bytes(key), algorithm).digest()
     out = block = b""
     i = 1
@@ -170,11 +173,11 @@ def quiet(f, otherwise=None):
 
 
 KERNELS = [
-    kernel("small", "hkdf_sha256", "binary", hkdf),
-    kernel("small", "hkdf_sha512", "binary", lambda k, s, i, n: hkdf(k, s, i, n, "sha512")),
+    kernel("small", "hkdf_sha256", "binary", hkdf, nulls=True),
+    kernel("small", "hkdf_sha512", "binary", lambda k, s, i, n: hkdf(k, s, i, n, "sha512"), nulls=True),
     kernel("small", "utm_encode", "string", utm),
     kernel("small", "json5_parse", "string", quiet(lambda s: json.dumps(json5(s), separators=(",", ":"), ensure_ascii=False))),
-    kernel("small", "json5_is_valid", "long", lambda s: int(quiet(lambda: (json5(s), 1)[1], 0)())),
+    kernel("small", "json5_is_valid", "long", lambda s: 0 if s is None else int(quiet(lambda: (json5(s), 1)[1], 0)()), nulls=True),
     kernel("small", "idna_to_ascii", "string", quiet(lambda s: s.encode("idna").decode())),
     kernel("small", "idna_to_unicode", "string", quiet(lambda s: s.encode().decode("idna"))),
 ]

@@ -128,9 +128,9 @@ KERNELS = [
     kernel("hash", "hmac_sha256", "string", lambda k, x: hmac.new(raw(k), raw(x), "sha256").hexdigest()),
     kernel("hash", "hmac_sha512", "string", lambda k, x: hmac.new(raw(k), raw(x), "sha512").hexdigest()),
     kernel("hash", "pbkdf2_sha256", "string", lambda p, s, n: hashlib.pbkdf2_hmac("sha256", raw(p), raw(s), n).hex()),
-    kernel("hash", "xxh64", "long", lambda x, seed=0: signed(xx("xxh64_intdigest")(raw(x), seed))),
+    kernel("hash", "xxh64", "long", lambda x, seed=0: signed(xx("xxh64_intdigest")(raw(x or ""), seed)), nulls=True),
     kernel("hash", "xxh32", "long", lambda x, seed=0: xx("xxh32_intdigest")(raw(x), seed)),
-    kernel("hash", "xxh3", "long", lambda x: xx("xxh3_64_intdigest")(raw(x)) & (1 << 63) - 1),
+    kernel("hash", "xxh3", "long", lambda x: xx("xxh3_64_intdigest")(raw("" if x is None else str(x) if isinstance(x, int | float) else x)) & (1 << 63) - 1, nulls=True),
     kernel("hash", "xxh3_128", "binary", lambda x: xx("xxh3_128_digest")(raw(x))),
     kernel("hash", "crc16", "long", lambda x: crc(raw(x), 16, 0x8005, 0, True, 0)),
     kernel("hash", "crc32_bzip2", "long", lambda x: crc(raw(x), 32, 0x04C11DB7, ONES32, False, ONES32)),

@@ -14,6 +14,7 @@ import json
 import math
 import re
 import struct
+import time
 import tomllib
 import xml.etree.ElementTree as ET
 from email.utils import parsedate_to_datetime
@@ -42,6 +43,17 @@ def group(family: str, returns: str, **functions) -> list[Function]:
     return [kernel(family, n, returns, quiet(f)) for n, f in functions.items()]
 
 
+def by_key(x):
+    """Objects with their keys in order."""
+    return {k: by_key(x[k]) for k in sorted(x)} if isinstance(x, dict) else [by_key(v) for v in x] if isinstance(x, list) else x
+
+
+def yaml_text(s: str):
+    if s is None:
+        raise ValueError("null")
+    return load_yaml(s)
+
+
 def valid(f):
     return lambda *a: int(quiet(lambda *b: (f(*b), True)[1], False)(*a))
 
@@ -93,10 +105,11 @@ def xml_tree(e: ET.Element):
 
 
 NOTATIONS = [
-    *group("notation", "string", yaml_to_json=lambda s: dump(load_yaml(s)), json_to_yaml=lambda s: dump_yaml(json.loads(s)), yaml_get=lambda s, p: dump(at_path(load_yaml(s), p)), yaml_keys=lambda s, p="": dump(list(at_path(load_yaml(s), p)))),
-    *group("notation", "string", toml_to_json=lambda s: dump(tomllib.loads(s)), json_to_toml=lambda s: to_toml(json.loads(s)), toml_get=lambda s, p: dump(at_path(tomllib.loads(s), p)), toml_keys=lambda s, p="": dump(list(at_path(tomllib.loads(s), p)))),
+    *group("notation", "string", yaml_to_json=lambda s: dump(by_key(load_yaml(s))), json_to_yaml=lambda s: dump_yaml(json.loads(s)), yaml_get=lambda s, p: dump(at_path(load_yaml(s), p)), yaml_keys=lambda s, p="": dump(sorted(at_path(load_yaml(s), p)))),
+    *group("notation", "string", toml_to_json=lambda s: dump(by_key(tomllib.loads(s))), json_to_toml=lambda s: to_toml(json.loads(s)), toml_get=lambda s, p: dump(at_path(tomllib.loads(s), p)), toml_keys=lambda s, p="": dump(sorted(at_path(tomllib.loads(s), p)))),
     *group("notation", "string", ini_to_json=lambda s: dump(ini(s)), json_to_ini=from_ini, xml_to_json=lambda s: (lambda e: dump({e.tag: xml_tree(e)}))(ET.fromstring(s))),
-    *group("notation", "long", yaml_is_valid=valid(load_yaml), toml_is_valid=valid(tomllib.loads), xml_is_valid=valid(ET.fromstring)),
+    *group("notation", "long", xml_is_valid=valid(ET.fromstring)),
+    *(kernel("notation", f"{n}_is_valid", "long", valid(f), nulls=True) for n, f in (("yaml", yaml_text), ("toml", tomllib.loads))),
 ]
 
 
@@ -369,10 +382,10 @@ def hotp(secret: str, counter: int, digits: int = 6, algorithm: str = "sha1") ->
 
 
 TOKENS = [
-    *group("token", "string", jwt_encode=jwt_encode, jwt_header=lambda t: unb64(t.split(".")[0]).decode(), jwt_payload=lambda t: unb64(t.split(".")[1]).decode(), jwt_decode=lambda t: dump({"header": json.loads(unb64(t.split(".")[0])), "payload": json.loads(unb64(t.split(".")[1]))})),
+    *group("token", "string", jwt_encode=jwt_encode, jwt_header=lambda t: unb64(t.split(".")[0]).decode(), jwt_payload=lambda t: dump(by_key(json.loads(unb64(t.split(".")[1])))), jwt_decode=lambda t: dump(by_key({"header": json.loads(unb64(t.split(".")[0])), "payload": json.loads(unb64(t.split(".")[1]))}))),
     *group("token", "long", jwt_verify=lambda t, key, alg: int(hmac.compare_digest(t.rpartition(".")[2], jwt_sign(t.rpartition(".")[0], key, alg)))),
-    *group("token", "string", hotp_generate=hotp, totp_generate=lambda s, at, period=30, digits=6: hotp(s, at // period, digits)),
-    *group("token", "long", hotp_verify=lambda code, s, n: int(code == hotp(s, n)), totp_verify=lambda code, s, at, period=30: int(any(code == hotp(s, at // period + d) for d in (-1, 0, 1)))),
+    *group("token", "string", hotp_generate=hotp, totp_generate=lambda s, at=None, period=30, digits=6: hotp(s, (int(time.time()) if at is None else at) // period, digits)),
+    *group("token", "long", hotp_verify=lambda code, s, n: int(code == quiet(hotp, "")(s, n)), totp_verify=lambda code, s, at=None, period=30: int(any(code == quiet(hotp, "")(s, (int(time.time()) if at is None else at) // period + d) for d in (-1, 0, 1)))),
     *group("token", "string", pkce_challenge=lambda v: b64(hashlib.sha256(v.encode()).digest())),
 ]
 
@@ -412,8 +425,8 @@ def robots_allowed(s: str, agent: str, url: str) -> int:
     return best[1]
 
 
-def sitemap(s: str) -> list[dict]:
-    return [{c.tag.rpartition("}")[2]: (c.text or "").strip() for c in e} for e in ET.fromstring(s) if e.tag.rpartition("}")[2] in ("url", "sitemap")]
+def sitemap(s: str, *kinds: str) -> list[dict]:
+    return [{c.tag.rpartition("}")[2]: (c.text or "").strip() for c in e} for e in ET.fromstring(s) if e.tag.rpartition("}")[2] in (kinds or ("url", "sitemap"))]
 
 
 def markdown(s: str) -> str:
@@ -450,9 +463,10 @@ def markdown(s: str) -> str:
 
 
 WEB = [
-    *group("robots", "long", robots_is_allowed=robots_allowed, sitemap_count=lambda s: len(sitemap(s)), sitemap_is_valid=valid(sitemap)),
+    *group("robots", "long", robots_is_allowed=robots_allowed, sitemap_count=lambda s: len(sitemap(s))),
+    kernel("robots", "sitemap_is_valid", "long", valid(lambda s: {"urlset": 1, "sitemapindex": 1}[ET.fromstring(s).tag.rpartition("}")[2]]), nulls=True),
     *group("robots", "double", robots_crawl_delay=lambda s, a: next(float(v) for k, v in robots_rules(s, a) if k == "crawl-delay")),
-    *group("robots", "string", robots_sitemaps=lambda s: dump(re.findall(r"(?im)^\s*sitemap:\s*(\S+)", s)), sitemap_urls=lambda s: dump([u["loc"] for u in sitemap(s)]), sitemap_full=lambda s: dump(sitemap(s)), sitemap_index_locs=lambda s: dump([u["loc"] for u in sitemap(s)])),
+    *group("robots", "string", robots_sitemaps=lambda s: dump(re.findall(r"(?im)^\s*sitemap:\s*(\S+)", s)), sitemap_urls=lambda s: dump([u["loc"] for u in sitemap(s, "url")]), sitemap_full=lambda s: dump([{k: u.get(k) for k in ("loc", "lastmod", "changefreq", "priority")} for u in sitemap(s, "url")]), sitemap_index_locs=lambda s: dump([u["loc"] for u in sitemap(s, "sitemap")])),
     *group("markdown", "string", markdown_to_html=markdown, markdown_to_text=lambda s: html.unescape(re.sub(r"<[^>]+>", "", markdown(s))), markdown_extract_links=lambda s: dump([{"text": a, "url": b} for a, b in re.findall(r"(?<!!)\[([^\]]+)\]\(([^)\s]+)\)", s)]), markdown_extract_headings=lambda s: dump([{"level": len(a), "text": b.strip("# ")} for a, b in re.findall(r"(?m)^(#{1,6})\s+(.*)$", s)])),
     *group("sqltext", "string", sql_statement_type=lambda s: re.match(r"\s*(?:--[^\n]*\n|/\*.*?\*/|\s)*(\w+)", s, re.S)[1].upper(), sql_normalize=lambda s: re.sub(r"\s+", " ", re.sub(r"'(?:[^']|'')*'|\b\d+(?:\.\d+)?\b", "?", s)).strip().lower()),
     *group("sqltext", "long", sql_statement_count=lambda s: len([x for x in re.sub(r"'(?:[^']|'')*'", "", s).split(";") if x.strip()]), sql_is_readonly=lambda s: int(re.match(r"\s*(select|with|values|explain|show|describe)\b", s, re.I) is not None)),
@@ -466,7 +480,7 @@ BIG = [
 
 BITMAPS = parse("bitmap", """
 rb_from_array(a ARRAY<BIGINT>) ARRAY<BIGINT> = array_sort(array_distinct(a))
-rb_from_range(lo BIGINT, hi BIGINT) ARRAY<BIGINT> = sequence(lo, hi)
+rb_from_range(lo BIGINT, hi BIGINT) ARRAY<BIGINT> = if(lo > hi, CAST(array() AS ARRAY<BIGINT>), sequence(lo, greatest(lo, hi)))
 rb_to_array(a ARRAY<BIGINT>) STRING = to_json(a)
 rb_cardinality(a ARRAY<BIGINT>) INT = size(a)
 rb_contains(a ARRAY<BIGINT>, v BIGINT) INT = CAST(array_contains(a, v) AS INT)
@@ -481,7 +495,7 @@ moving_average(a ARRAY<DOUBLE>, w INT) ARRAY<DOUBLE> = if(size(a) < w, CAST(arra
 phone_prefix_normalize(s STRING) STRING = concat(if(trim(s) LIKE '+%', '+', ''), regexp_replace(s, '[^0-9]', ''))
 postcode_normalize(s STRING) STRING = upper(regexp_replace(trim(s), ' +', ' '))
 postcode_validate_country(s STRING, c STRING) INT = CAST(CASE upper(c) WHEN 'US' THEN trim(s) RLIKE '^[0-9]{5}(-[0-9]{4})?$' WHEN 'GB' THEN upper(trim(s)) RLIKE '^[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}$' WHEN 'CA' THEN upper(trim(s)) RLIKE '^[A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]$' WHEN 'NL' THEN upper(trim(s)) RLIKE '^[1-9][0-9]{3} ?[A-Z]{2}$' WHEN 'JP' THEN trim(s) RLIKE '^[0-9]{3}-[0-9]{4}$' ELSE trim(s) RLIKE '^[0-9]{5}$' END AS INT)
-tld_extract(s STRING) STRING = lower(regexp_extract(rtrim('.', s), '([^.]+)$', 1))
+tld_extract(s STRING) STRING = nullif(lower(regexp_extract(rtrim('.', trim(s)), '([^.]+)$', 1)), '')
 jsonpath_first(s STRING, path STRING) STRING = get_json_object(s, path)
 jsonpath_exists(s STRING, path STRING) INT = CAST(get_json_object(s, path) IS NOT NULL AS INT)
 """)

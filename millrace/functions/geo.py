@@ -14,9 +14,9 @@ within_radius(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, r DOUBLE) BOOLEAN = havers
 geo_midpoint(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) STRING = concat(round(degrees(atan2(sin(radians(a)) + sin(radians(c)), sqrt(pow(cos(radians(a)) + cos(radians(c)) * cos(radians(d - b)), 2) + pow(cos(radians(c)) * sin(radians(d - b)), 2)))), 6), ',', round(b + degrees(atan2(cos(radians(c)) * sin(radians(d - b)), cos(radians(a)) + cos(radians(c)) * cos(radians(d - b)))), 6))
 latlon_normalize_lon(x DOUBLE) DOUBLE = pmod(x + 180, 360) - 180 ;; latlon_normalize_lon(s_suppkey * 7.0D) ;; CAST(((s_suppkey * 7.0 + 180) % 360) - 180 AS DOUBLE)
 latlon_normalize_lat(x DOUBLE) DOUBLE = greatest(-90D, least(90D, x)) ;; latlon_normalize_lat(s_suppkey * 3.0D) ;; least(90.0::DOUBLE, s_suppkey * 3.0)
-latlon_to_dms(x DOUBLE, axis STRING) STRING = concat(int(abs(x)), '° ', int(abs(x) * 60) % 60, '\' ', round(pmod(abs(x) * 3600, 60), 2), '" ', if(axis = 'lat', if(x < 0, 'S', 'N'), if(x < 0, 'W', 'E')))
-latlon_to_ddm(x DOUBLE, axis STRING) STRING = concat(int(abs(x)), '° ', round(pmod(abs(x) * 60, 60), 4), '\' ', if(axis = 'lat', if(x < 0, 'S', 'N'), if(x < 0, 'W', 'E')))
-latlon_from_dms(s STRING) DOUBLE = if(s RLIKE '[SWsw]', -1, 1) * aggregate(transform(regexp_extract_all(s, '([0-9]+(?:\\.[0-9]+)?)', 1), (p, i) -> double(p) / pow(60D, i)), 0D, (a, v) -> a + v)
+latlon_to_dms(x DOUBLE, axis STRING) STRING = concat(int(abs(x)), '° ', int(round(abs(x) * 3600, 6) / 60) % 60, '\' ', format_string('%.2f', pmod(round(abs(x) * 3600, 6), 60)), '" ', CASE axis WHEN 'lat' THEN if(x < 0, 'S', 'N') WHEN 'lon' THEN if(x < 0, 'W', 'E') END)
+latlon_to_ddm(x DOUBLE, axis STRING) STRING = concat(int(abs(x)), '° ', format_string('%.3f', pmod(abs(x) * 60, 60)), '\' ', CASE axis WHEN 'lat' THEN if(x < 0, 'S', 'N') WHEN 'lon' THEN if(x < 0, 'W', 'E') END)
+latlon_from_dms(s STRING) DOUBLE = if(s RLIKE '[0-9]', if(s RLIKE '[SWsw]|^\\s*-', -1, 1), NULL) * aggregate(transform(regexp_extract_all(s, '([0-9]+(?:\\.[0-9]+)?)', 1), (p, i) -> double(p) / pow(60D, i)), 0D, (a, v) -> a + v)
 wkt_x(g STRING) DOUBLE = try_cast(regexp_extract(g, 'POINT *\\( *([-0-9.eE]+)', 1) AS DOUBLE) ;; wkt_x(concat('POINT(', s_suppkey, ' ', s_nationkey, ')')) ;; CAST(s_suppkey AS DOUBLE)
 wkt_y(g STRING) DOUBLE = try_cast(regexp_extract(g, 'POINT *\\( *[-0-9.eE]+ +([-0-9.eE]+)', 1) AS DOUBLE) ;; wkt_y(concat('POINT(', s_suppkey, ' ', s_nationkey, ')')) ;; CAST(s_nationkey AS DOUBLE)
 wkt_point(x DOUBLE, y DOUBLE) STRING = concat('POINT(', x, ' ', y, ')')

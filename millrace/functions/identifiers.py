@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from millrace.functions.registry import kernel, parse
 
+# Lengths of IBANs by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+    "QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+LENGTHS = parse("identifier", f"""
+iban_length(c STRING) INT = CAST(nullif(regexp_extract('{IBAN_LENGTHS}', concat(c, '([0-9]{{2}})'), 1), '') AS INT)
+lei_normalize(s STRING) STRING = upper(regexp_replace(s, '[^A-Za-z0-9]', ''))
+lccn_normalize(s STRING) STRING = element_at(transform(array(split(regexp_replace(s, '\\\\s', ''), '/')[0]), t -> if(locate('-', t) > 0, concat(substring_index(t, '-', 1), lpad(substring_index(t, '-', -1), 6, '0')), t)), 1)
+lccn_is_valid(s STRING) INT = CAST(element_at(transform(array(split(regexp_replace(s, '\\\\s', ''), '/')[0]), t -> if(locate('-', t) > 0, concat(substring_index(t, '-', 1), lpad(substring_index(t, '-', -1), 6, '0')), t)), 1) RLIKE '^([a-z]{{0,3}}[0-9]{{8}}|[a-z]{{0,2}}[0-9]{{10}})$' AS INT)
+""")
+
 DIGITS = parse("identifier", r"""
 alnum(s STRING) STRING = upper(regexp_replace(s, '[\\s.-]', '')) ;; alnum(concat(c_name, ' -x')) ;; upper(replace(c_name, '-', '')) || 'X'
 digit_list(s STRING) ARRAY<INT> = transform(regexp_extract_all(s, '([0-9])', 1), d -> int(d)) ;; size(digit_list(c_name)) ;; length(regexp_replace(c_name, '[^0-9]', '', 'g'))
@@ -17,8 +30,8 @@ aba_frb_district(s STRING) INT = if(aba_validate(s) = 1, int(left(s, 2)) % 20, N
 cc_normalize(s STRING) STRING = regexp_replace(s, '[^0-9]', '') ;; cc_normalize(c_name) ;; regexp_replace(c_name, '[^0-9]', '', 'g')
 cc_validate(s STRING) INT = CAST(cc_normalize(s) RLIKE '^[0-9]{12,19}$' AND luhn_sum(s) % 10 = 0 AS INT)
 cc_type(s STRING) STRING = CASE WHEN cc_normalize(s) RLIKE '^4[0-9]{12}([0-9]{3})?([0-9]{3})?$' THEN 'visa' WHEN cc_normalize(s) RLIKE '^(5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)[0-9]*$' AND length(cc_normalize(s)) = 16 THEN 'mastercard' WHEN cc_normalize(s) RLIKE '^3[47][0-9]{13}$' THEN 'amex' WHEN cc_normalize(s) RLIKE '^6(011|5|4[4-9])[0-9]*$' THEN 'discover' WHEN cc_normalize(s) RLIKE '^35[0-9]{14}$' THEN 'jcb' WHEN cc_normalize(s) RLIKE '^3(0[0-5]|[68])[0-9]{11}$' THEN 'diners' END
-cc_network(s STRING) STRING = cc_type(s)
-cc_mask(s STRING) STRING = concat(repeat('*', length(cc_normalize(s)) - 4), right(cc_normalize(s), 4)) ;; cc_mask(c_name) ;; repeat('*', length(regexp_replace(c_name, '[^0-9]', '', 'g')) - 4) || right(c_name, 4)
+cc_network(s STRING) STRING = initcap(cc_type(s))
+cc_mask(s STRING) STRING = concat(repeat('X', length(cc_normalize(s)) - 4), right(cc_normalize(s), 4)) ;; cc_mask(c_name) ;; repeat('X', length(regexp_replace(c_name, '[^0-9]', '', 'g')) - 4) || right(c_name, 4)
 cc_last4(s STRING) STRING = right(cc_normalize(s), 4) ;; cc_last4(c_name) ;; right(c_name, 4)
 cc_bin(s STRING) STRING = left(cc_normalize(s), 6) ;; cc_bin(c_name) ;; left(regexp_replace(c_name, '[^0-9]', '', 'g'), 6)
 ean_check_digit(s STRING) INT = (10 - aggregate(transform(reverse(digit_list(s)), (d, i) -> if(i % 2 = 0, 3 * d, d)), 0, (a, d) -> a + d) % 10) % 10
@@ -26,13 +39,14 @@ ean_validate(s STRING) INT = CAST(s RLIKE '^([0-9]{8}|[0-9]{12,14})$' AND ean_ch
 ean_gs1_prefix(s STRING) STRING = left(s, 3)
 upca_to_ean13(s STRING) STRING = if(s RLIKE '^[0-9]{12}$', concat('0', s), NULL)
 isbn_digits(s STRING) STRING = upper(regexp_replace(s, '[^0-9Xx]', ''))
-isbn_is_valid(s STRING) INT = CAST(CASE WHEN isbn_digits(s) RLIKE '^[0-9]{13}$' THEN left(isbn_digits(s), 3) IN ('978', '979') AND ean_validate(isbn_digits(s)) = 1 WHEN isbn_digits(s) RLIKE '^[0-9]{9}[0-9X]$' THEN aggregate(transform(split(isbn_digits(s), ''), (c, i) -> if(c = 'X', 10, int(c)) * (10 - i)), 0, (a, d) -> a + d) % 11 = 0 ELSE false END AS INT)
+isbn_is_valid(s STRING) INT = CAST(CASE WHEN s IS NULL THEN NULL WHEN isbn_digits(s) RLIKE '^[0-9]{13}$' THEN left(isbn_digits(s), 3) IN ('978', '979') AND ean_validate(isbn_digits(s)) = 1 WHEN isbn_digits(s) RLIKE '^[0-9]{9}[0-9X]$' THEN aggregate(transform(split(isbn_digits(s), ''), (c, i) -> if(c = 'X', 10, int(c)) * (10 - i)), 0, (a, d) -> a + d) % 11 = 0 ELSE false END AS INT)
 isbn_normalize(s STRING) STRING = if(isbn_is_valid(s) = 0, NULL, if(length(isbn_digits(s)) = 13, isbn_digits(s), concat('978', left(isbn_digits(s), 9), ean_check_digit(concat('978', left(isbn_digits(s), 9))))))
 issn_is_valid(s STRING) INT = CAST(upper(replace(s, '-', '')) RLIKE '^[0-9]{7}[0-9X]$' AND aggregate(transform(split(upper(replace(s, '-', '')), ''), (c, i) -> if(c = 'X', 10, int(c)) * (8 - i)), 0, (a, d) -> a + d) % 11 = 0 AS INT)
 issn_format(s STRING) STRING = if(issn_is_valid(s) = 1, concat(left(upper(replace(s, '-', '')), 4), '-', right(upper(replace(s, '-', '')), 4)), NULL)
-doi_normalize(s STRING) STRING = lower(regexp_replace(trim(s), '(?i)^(doi:|https?://(dx\\.)?doi\\.org/)\\s*', ''))
-doi_is_valid(s STRING) INT = CAST(doi_normalize(s) RLIKE '^10\\.[0-9]{4,9}/\\S+$' AS INT)
-orcid_is_valid(s STRING) INT = CAST(alnum(s) RLIKE '^[0-9]{15}[0-9X]$' AND (12 - aggregate(digit_list(left(alnum(s), 15)), 0, (a, d) -> (a + d) * 2 % 11) % 11) % 11 = if(right(alnum(s), 1) = 'X', 10, int(right(alnum(s), 1))) AS INT)
+doi_normalize(s STRING) STRING = regexp_replace(trim(s), '(?i)^(doi:|https?://(dx\\.)?doi\\.org/)\\s*', '')
+doi_is_valid(s STRING) INT = CAST(doi_normalize(s) RLIKE '^10\\.[0-9]{4,9}(\\.[0-9]+)*/\\S+$' AS INT)
+orcid_is_valid(s STRING) INT = orcid_digits_valid(regexp_replace(trim(s), '(?i)^https?://orcid\\.org/', ''))
+orcid_digits_valid(s STRING) INT = CAST(alnum(s) RLIKE '^[0-9]{15}[0-9X]$' AND (12 - aggregate(digit_list(left(alnum(s), 15)), 0, (a, d) -> (a + d) * 2 % 11) % 11) % 11 = if(right(alnum(s), 1) = 'X', 10, int(right(alnum(s), 1))) AS INT)
 orcid_format(s STRING) STRING = if(orcid_is_valid(s) = 1, regexp_replace(alnum(s), '(.{4})(.{4})(.{4})(.{4})', '$1-$2-$3-$4'), NULL)
 bic_validate(s STRING) INT = CAST(upper(trim(s)) RLIKE '^[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?$' AS INT) ;; bic_validate(concat(left(c_mktsegment, 6), '22')) ;; CAST(regexp_matches(left(c_mktsegment, 6) || '22', '^[A-Z]{6}[A-Z0-9]{2}$') AS INTEGER)
 bic_bank(s STRING) STRING = if(bic_validate(s) = 1, upper(substr(trim(s), 1, 4)), NULL)
@@ -51,7 +65,7 @@ isin_country(s STRING) STRING = upper(left(s, 2))
 isin_nsin(s STRING) STRING = upper(substr(s, 3, 9))
 cusip_to_isin(s STRING) STRING = concat('US', upper(s), isin_check_digit(concat('US', upper(s))))
 iban_normalize(s STRING) STRING = upper(regexp_replace(s, '\\s', ''))
-iban_is_valid(s STRING) INT = CAST(iban_normalize(s) RLIKE '^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$' AND mod97(concat(substr(iban_normalize(s), 5), left(iban_normalize(s), 4))) = 1 AS INT)
+iban_is_valid(s STRING) INT = CAST(coalesce(length(iban_normalize(s)) = iban_length(left(iban_normalize(s), 2)), s IS NULL) AND iban_normalize(s) RLIKE '^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$' AND mod97(concat(substr(iban_normalize(s), 5), left(iban_normalize(s), 4))) = 1 AS INT)
 iban_format(s STRING) STRING = rtrim(regexp_replace(iban_normalize(s), '(.{4})', '$1 '))
 iban_country(s STRING) STRING = if(iban_is_valid(s) = 1, left(iban_normalize(s), 2), NULL)
 iban_check_digits(s STRING) STRING = if(iban_is_valid(s) = 1, substr(iban_normalize(s), 3, 2), NULL)
@@ -71,11 +85,11 @@ container_owner(s STRING) STRING = left(alnum(s), 3)
 container_category(s STRING) STRING = substr(alnum(s), 4, 1)
 container_serial(s STRING) STRING = substr(alnum(s), 5, 6)
 ssn_normalize(s STRING) STRING = regexp_replace(regexp_replace(s, '[^0-9]', ''), '^(.{3})(.{2})(.{4})$', '$1-$2-$3')
-ssn_validate(s STRING) INT = CAST(ssn_normalize(s) RLIKE '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$' AS INT)
+ssn_validate(s STRING) INT = CAST(ssn_normalize(s) RLIKE '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$' AND ssn_normalize(s) NOT IN ('078-05-1120', '219-09-9999') AS INT)
 ssn_area(s STRING) STRING = substr(ssn_normalize(s), 1, 3)
 ssn_group(s STRING) STRING = substr(ssn_normalize(s), 5, 2)
 ssn_serial(s STRING) STRING = substr(ssn_normalize(s), 8, 4)
-ssn_mask(s STRING) STRING = concat('***-**-', ssn_serial(s))
+ssn_mask(s STRING) STRING = concat('XXX-XX-', ssn_serial(s))
 email_validate(s STRING) INT = CAST(s RLIKE '^[A-Za-z0-9.!#$%&\'*+/=?^_`{|}~-]+@[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\\.[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)+$' AS INT)
 email_local(s STRING) STRING = if(email_validate(s) = 1, substring_index(s, '@', 1), NULL)
 email_domain(s STRING) STRING = if(email_validate(s) = 1, lower(substring_index(s, '@', -1)), NULL)
@@ -127,4 +141,4 @@ def ulid_timestamp(s: str) -> int | None:
     return n
 
 
-FUNCTIONS = [*DIGITS, kernel("identifier", "ulid_from", "string", ulid_from), kernel("identifier", "ulid_timestamp", "long", ulid_timestamp), kernel("identifier", "ulid_validate", "long", lambda s: int(ulid_timestamp(s) is not None))]
+FUNCTIONS = [*LENGTHS, *DIGITS, kernel("identifier", "ulid_from", "string", ulid_from), kernel("identifier", "ulid_timestamp", "long", ulid_timestamp), kernel("identifier", "ulid_validate", "long", lambda s: int(ulid_timestamp(s) is not None))]

@@ -50,11 +50,11 @@ def merged(a: str, b: str) -> str:
     return str(x)
 
 
-def agent(ua: str) -> tuple[str, str]:
+def agent(ua: str) -> tuple[str | None, str | None]:
     """(browser, system) of a user agent, by the marks that each sends."""
-    browsers = (("Edg/", "Edge"), ("OPR/", "Opera"), ("Firefox/", "Firefox"), ("Chrome/", "Chrome"), ("Safari/", "Safari"), ("curl/", "curl"))
-    systems = (("Windows", "Windows"), ("Android", "Android"), ("iPhone", "iOS"), ("iPad", "iOS"), ("Mac OS X", "macOS"), ("Linux", "Linux"))
-    first = lambda marks: next((name for mark, name in marks if mark in ua), "Other")
+    browsers = (("Googlebot", "Googlebot"), ("bingbot", "bingbot"), ("Edg/", "Edge"), ("OPR/", "Opera"), ("Firefox/", "Firefox"), ("Chrome/", "Chrome"), ("Safari/", "Safari"), ("curl/", "curl"))
+    systems = (("Windows", "Windows"), ("Android", "Android"), ("iPhone", "iPhone"), ("iPad", "iPad"), ("Mac OS X", "Mac OSX"), ("Linux", "Linux"))
+    first = lambda marks: next((name for mark, name in marks if mark in ua), None)
     return first(browsers), first(systems)
 
 

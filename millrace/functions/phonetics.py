@@ -188,7 +188,7 @@ RANDOM = [
 ]
 
 FUNCTIONS = [
-    kernel("phonetic", "metaphone", "string", metaphone),
+    kernel("phonetic", "metaphone", "string", lambda s: metaphone(s)[:4]),
     kernel("phonetic", "caverphone", "string", caverphone),
     kernel("color", "color_rgb_to_hsl", "string", to_hsl),
     kernel("color", "color_rgb_to_hsv", "string", to_hsv),
@@ -201,7 +201,7 @@ FUNCTIONS = [
     *(kernel("random", name, "string", lambda _, f=f: f(), nulls=True) for name, f in RANDOM),
     *parse("identifier", """
 snowflake_to_timestamp(n BIGINT) BIGINT = shiftright(n, 22) + 1288834974657L
-uuid_v7_timestamp(u STRING) BIGINT = CAST(conv(substr(replace(u, '-', ''), 1, 12), 16, 10) AS BIGINT)
+uuid_v7_timestamp(u STRING) BIGINT = if(substr(u, 15, 1) = '7', CAST(conv(substr(replace(u, '-', ''), 1, 12), 16, 10) AS BIGINT), NULL)
 cusip_is_private(s STRING) INT = CAST(substr(s, 7, 1) RLIKE '[0-9A-Z]' AND substr(s, 7, 2) RLIKE '^9[0-9]$' AS INT)
 """),
 ]

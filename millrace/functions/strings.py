@@ -60,7 +60,7 @@ std_initcap(s STRING) STRING = array_join(transform(sequence(1, greatest(length(
 """)
 
 EXTENSION = parse("string_ext", r"""
-charindex(needle STRING, s STRING, start INT DEFAULT 1) INT = locate(needle, s, start) ;; charindex('0', c_name, 12) ;; CASE WHEN instr(substr(c_name, 12), '0') > 0 THEN instr(substr(c_name, 12), '0') + 11 ELSE 0 END
+charindex(s STRING, needle STRING, start INT DEFAULT 1) INT = if(needle = '', 0, locate(needle, s, start)) ;; charindex(c_name, '0', 12) ;; CASE WHEN instr(substr(c_name, 12), '0') > 0 THEN instr(substr(c_name, 12), '0') + 11 ELSE 0 END
 leftstr(s STRING, n INT) STRING = left(s, n) ;; leftstr(c_name, 4) ;; left(c_name, 4)
 rightstr(s STRING, n INT) STRING = right(s, n) ;; rightstr(c_name, 4) ;; right(c_name, 4)
 replicate(s STRING, n INT) STRING = repeat(s, n) ;; replicate(c_mktsegment, 3) ;; repeat(c_mktsegment, 3)
@@ -119,9 +119,9 @@ size_unit(n DOUBLE, base DOUBLE) INT = if(n < base, 0, CAST(least(6D, floor(ln(n
 size_text(x DOUBLE) STRING = if(round(x, 1) = floor(x), CAST(CAST(floor(x) AS BIGINT) AS STRING), CAST(round(x, 1) AS STRING))
 humansize_bytes(n DOUBLE) STRING = concat(if(n < 0, '-', ''), size_text(abs(n) / pow(1000D, size_unit(abs(n), 1000D))), ' ', element_at(array('B', 'KB', 'MB', 'GB', 'TB', 'PB', 'EB'), size_unit(abs(n), 1000D) + 1))
 humansize_ibytes(n DOUBLE) STRING = concat(if(n < 0, '-', ''), size_text(abs(n) / pow(1024D, size_unit(abs(n), 1024D))), ' ', element_at(array('B', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB', 'EiB'), size_unit(abs(n), 1024D) + 1))
-humansize_parse_bytes(s STRING) BIGINT = CAST(round(try_cast(regexp_extract(trim(s), '^([0-9.]+)\\s*([A-Za-z]*)$', 1) AS DOUBLE) * CASE lower(regexp_extract(trim(s), '^([0-9.]+)\\s*([A-Za-z]*)$', 2)) WHEN '' THEN 1D WHEN 'b' THEN 1D WHEN 'kb' THEN 1e3 WHEN 'mb' THEN 1e6 WHEN 'gb' THEN 1e9 WHEN 'tb' THEN 1e12 WHEN 'pb' THEN 1e15 WHEN 'kib' THEN 1024D WHEN 'mib' THEN 1048576D WHEN 'gib' THEN 1073741824D WHEN 'tib' THEN 1099511627776D END) AS BIGINT) ;; humansize_parse_bytes(concat(p_size, ' KB')) ;; CAST(p_size * 1000 AS BIGINT)
-humansize_duration(n BIGINT) STRING = if(n = 0, '0s', concat_ws(' ', if(n >= 86400, concat(n div 86400, 'd'), NULL), if(n % 86400 >= 3600, concat(n % 86400 div 3600, 'h'), NULL), if(n % 3600 >= 60, concat(n % 3600 div 60, 'm'), NULL), if(n % 60 > 0, concat(n % 60, 's'), NULL))) ;; humansize_duration(p_size * 60) ;; CASE WHEN p_size % 60 = 0 THEN '1h' ELSE p_size || 'm' END
-humansize_parse_duration(s STRING) BIGINT = aggregate(transform(regexp_extract_all(s, '([0-9]+\\s*[dhms])', 1), p -> CAST(regexp_extract(p, '([0-9]+)', 1) AS BIGINT) * CASE right(p, 1) WHEN 'd' THEN 86400L WHEN 'h' THEN 3600L WHEN 'm' THEN 60L ELSE 1L END), 0L, (a, b) -> a + b)
+humansize_parse_bytes(s STRING) BIGINT = CAST(round(try_cast(regexp_extract(trim(s), '^([0-9.]+)\\s*([A-Za-z]*)$', 1) AS DOUBLE) * CASE lower(regexp_extract(trim(s), '^([0-9.]+)\\s*([A-Za-z]*)$', 2)) WHEN '' THEN 1D WHEN 'b' THEN 1D WHEN 'byte' THEN 1D WHEN 'bytes' THEN 1D WHEN 'kb' THEN 1e3 WHEN 'mb' THEN 1e6 WHEN 'gb' THEN 1e9 WHEN 'tb' THEN 1e12 WHEN 'pb' THEN 1e15 WHEN 'kib' THEN 1024D WHEN 'mib' THEN 1048576D WHEN 'gib' THEN 1073741824D WHEN 'tib' THEN 1099511627776D END) AS BIGINT) ;; humansize_parse_bytes(concat(p_size, ' KB')) ;; CAST(p_size * 1000 AS BIGINT)
+humansize_duration(n BIGINT) STRING = if(n = 0, '0s', regexp_extract(concat_ws(' ', if(n >= 86400, concat(n div 86400, 'd'), NULL), if(n % 86400 >= 3600, concat(n % 86400 div 3600, 'h'), NULL), if(n % 3600 >= 60, concat(n % 3600 div 60, 'm'), NULL), if(n % 60 > 0, concat(n % 60, 's'), NULL)), '^(\\S+( \\S+)?)', 1)) ;; humansize_duration(p_size * 60) ;; CASE WHEN p_size % 60 = 0 THEN '1h' ELSE p_size || 'm' END
+humansize_parse_duration(s STRING) BIGINT = if(NOT s RLIKE '[0-9]\\s*[dhms]', NULL, aggregate(transform(regexp_extract_all(s, '([0-9]+\\s*[dhms])', 1), p -> CAST(regexp_extract(p, '([0-9]+)', 1) AS BIGINT) * CASE right(p, 1) WHEN 'd' THEN 86400L WHEN 'h' THEN 3600L WHEN 'm' THEN 60L ELSE 1L END), 0L, (a, b) -> a + b))
 numfmt_commas(n DOUBLE, places INT) STRING = format_number(n, places) ;; numfmt_commas(p_retailprice, 2) ;; printf('%,.2f', p_retailprice)
 numfmt_fixed(n DOUBLE, places INT) STRING = format_string(concat('%.', places, 'f'), n) ;; numfmt_fixed(p_retailprice, 1) ;; printf('%.1f', p_retailprice)
 numfmt_ordinal(n BIGINT) STRING = concat(n, CASE WHEN abs(n) % 100 BETWEEN 11 AND 13 THEN 'th' WHEN abs(n) % 10 = 1 THEN 'st' WHEN abs(n) % 10 = 2 THEN 'nd' WHEN abs(n) % 10 = 3 THEN 'rd' ELSE 'th' END) ;; numfmt_ordinal(p_size) ;; p_size || CASE WHEN p_size % 100 IN (11, 12, 13) THEN 'th' WHEN p_size % 10 = 1 THEN 'st' WHEN p_size % 10 = 2 THEN 'nd' WHEN p_size % 10 = 3 THEN 'rd' ELSE 'th' END
@@ -132,13 +132,13 @@ numfmt_group(n DOUBLE, sep STRING) STRING = replace(regexp_replace(format_string
 natsort_key(s STRING) STRING = array_join(transform(regexp_extract_all(lower(s), '([0-9]+|[^0-9]+)', 1), p -> if(p RLIKE '^[0-9]+$', lpad(ltrim('0', p), 20, '0'), p)), '') ;; natsort_key(p_brand) ;; regexp_replace(lower(p_brand), '([0-9]+)', '') || lpad(regexp_extract(p_brand, '[0-9]+'), 20, '0')
 uint_key(s STRING) STRING = array_join(transform(regexp_extract_all(s, '([0-9]+|[^0-9]+)', 1), p -> if(p RLIKE '^[0-9]+$', lpad(ltrim('0', p), 20, '0'), p)), '') ;; uint_key(c_name) ;; regexp_replace(c_name, '[0-9]+', lpad(ltrim(regexp_extract(c_name, '[0-9]+'), '0'), 20, '0'))
 text_nocase_key(s STRING) STRING = lower(s) ;; text_nocase_key(c_name) ;; lower(c_name)
-glob_match(p STRING, s STRING) BOOLEAN = s RLIKE concat('(?s)^', replace(replace(regexp_replace(regexp_replace(p, '([.+$(){}|\\])', '\\$1'), '(?<!\[)\^', '\\^'), '*', '.*'), '?', '.'), '$') ;; glob_match('Cust*#0*[1-4]?', c_name) ;; c_name GLOB 'Cust*#0*[1-4]?'
-natsort_compare(a STRING, b STRING) INT = CASE WHEN natsort_key(a) < natsort_key(b) THEN -1 WHEN natsort_key(a) > natsort_key(b) THEN 1 ELSE 0 END
+glob_match(p STRING, s STRING) BOOLEAN = s RLIKE concat('(?s)^', replace(replace(regexp_replace(regexp_replace(p, '([.+$(){}|\\\\])', '\\\\$1'), '(?<!\\[)\\^', '\\\\^'), '*', '.*'), '?', '.'), '$') ;; glob_match('Cust*#0*[1-4]?', c_name) ;; c_name GLOB 'Cust*#0*[1-4]?'
+natsort_compare(a STRING, b STRING) INT = CASE WHEN natsort_key(a) < natsort_key(b) THEN -1 WHEN natsort_key(a) > natsort_key(b) THEN 1 WHEN length(a) <> length(b) THEN CAST(sign(length(a) - length(b)) AS INT) ELSE 0 END
 natsort_less(a STRING, b STRING) INT = CAST(natsort_key(a) < natsort_key(b) AS INT)
-ngrams_char(s STRING, n INT) STRING = to_json(if(length(s) < n, CAST(array() AS ARRAY<STRING>), transform(sequence(1, greatest(length(s) - n + 1, 1)), i -> substr(s, i, n)))) ;; ngrams_char(left(p_brand, 3), 2) ;; '["' || left(p_brand, 2) || '","' || substr(p_brand, 2, 2) || '"]'
-ngrams_word(s STRING, n INT) STRING = to_json(if(size(split(trim(s), '\\s+')) < n OR trim(s) = '', CAST(array() AS ARRAY<STRING>), transform(sequence(1, greatest(size(split(trim(s), '\\s+')) - n + 1, 1)), i -> array_join(slice(split(trim(s), '\\s+'), i, n), ' '))))
-ngrams_count_char(s STRING, n INT) INT = greatest(length(s) - n + 1, 0) ;; ngrams_count_char(p_name, 3) ;; greatest(length(p_name) - 2, 0)
-ngrams_count_word(s STRING, n INT) INT = if(trim(s) = '', 0, greatest(size(split(trim(s), '\\s+')) - n + 1, 0)) ;; ngrams_count_word(p_type, 2) ;; greatest(len(string_split(p_type, ' ')) - 1, 0)
+ngrams_char(s STRING, n INT) STRING = if(s IS NULL OR n IS NULL, NULL, to_json(if(length(s) < n, CAST(array() AS ARRAY<STRING>), transform(sequence(1, greatest(length(s) - n + 1, 1)), i -> substr(s, i, n))))) ;; ngrams_char(left(p_brand, 3), 2) ;; '["' || left(p_brand, 2) || '","' || substr(p_brand, 2, 2) || '"]'
+ngrams_word(s STRING, n INT) STRING = if(s IS NULL OR n IS NULL, NULL, to_json(if(size(split(trim(s), '\\s+')) < n OR trim(s) = '', CAST(array() AS ARRAY<STRING>), transform(sequence(1, greatest(size(split(trim(s), '\\s+')) - n + 1, 1)), i -> array_join(slice(split(trim(s), '\\s+'), i, n), ' ')))))
+ngrams_count_char(s STRING, n INT) INT = if(s IS NULL OR n IS NULL, NULL, greatest(length(s) - n + 1, 0)) ;; ngrams_count_char(p_name, 3) ;; greatest(length(p_name) - 2, 0)
+ngrams_count_word(s STRING, n INT) INT = if(s IS NULL OR n IS NULL, NULL, if(trim(s) = '', 0, greatest(size(split(trim(s), '\\s+')) - n + 1, 0))) ;; ngrams_count_word(p_type, 2) ;; greatest(len(string_split(p_type, ' ')) - 1, 0)
 """)
 
 REGEX = parse("regex", r"""

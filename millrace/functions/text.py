@@ -81,7 +81,8 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     out, start = [], 0
     for m in re.finditer(r"[.!?]+[\"')\]]*(?=\s|$)", text):
         before = re.search(r"([\w.]+)$", text[start : m.start()])
-        if m[0].startswith(".") and before and before[1].lower() in ABBREVIATIONS:
+        initials = before and re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]", before[1]) and re.match(r"\s+[a-z]", text[m.end() :])
+        if m[0].startswith(".") and before and (before[1].lower() in ABBREVIATIONS or initials):
             continue
         out.append((start, m.end()))
         start = m.end()
@@ -324,6 +325,8 @@ def chi_square(observed, expected, df: int) -> str:
 
 def independence(table: str) -> str:
     t = np.array(json.loads(table), float)
+    if min(t.shape) < 2:
+        return None
     return chi_square(t, np.outer(t.sum(1), t.sum(0)) / t.sum(), (t.shape[0] - 1) * (t.shape[1] - 1))
 
 
@@ -337,21 +340,37 @@ def anova(groups: str) -> str:
     return compact({"F": f, "df_between": a, "df_within": b, "p": beta_tail(b / 2, a / 2, b / (b + a * f))})
 
 
-def adjusted(p: str, method: str) -> str:
-    """p-values adjusted for their number: Bonferroni, Holm, Benjamini-Hochberg or Benjamini-Yekutieli."""
+def rejected(p: str, alpha: float, method: str) -> str | None:
+    """Which hypotheses are rejected at a level alpha for all: Bonferroni, Holm, Benjamini-Hochberg or Benjamini-Yekutieli."""
     x = np.array(json.loads(p), float)
     m, order = len(x), np.argsort(x, kind="stable")
-    s = x[order]
+    if not m or not 0 <= alpha <= 1 or not ((x >= 0) & (x <= 1)).all():
+        return None
+    short = lambda v: int(v) if v == int(v) else float(v)
     if method == "bonferroni":
-        return compact(np.minimum(x * m, 1).tolist())
+        return compact({"adjusted_alpha": short(alpha / m), "reject_array": (x <= alpha / m).astype(int).tolist()})
     if method == "holm":
-        a = np.maximum.accumulate(s * np.arange(m, 0, -1))
-    else:
-        factor = m * (sum(1 / i for i in range(1, m + 1)) if method == "by" else 1)
-        a = np.minimum.accumulate((s * factor / np.arange(1, m + 1))[::-1])[::-1]
-    out = np.empty(m)
-    out[order] = np.minimum(a, 1)
-    return compact(out.tolist())
+        passed = np.logical_and.accumulate(x[order] <= alpha / np.arange(m, 0, -1))
+        out = np.zeros(m, int)
+        out[order] = passed
+        return compact({"sorted_indices": order.tolist(), "reject_array": out.tolist()})
+    weight = sum(1 / i for i in range(1, m + 1)) if method == "by" else 1.0
+    under = np.flatnonzero(x[order] <= np.arange(1, m + 1) * alpha / (m * weight))
+    threshold = x[order][under[-1]] if len(under) else 0.0
+    return compact({"threshold": short(threshold), "reject_array": ((x <= threshold) & bool(len(under))).astype(int).tolist()})
+
+
+def tested(f):
+    """A test's result, or null for what it is not defined for: text that is no list of numbers, too few values, no spread."""
+
+    def run(*args):
+        try:
+            with np.errstate(all="raise"):
+                return f(*args)
+        except (ValueError, TypeError, IndexError, ArithmeticError):
+            return None
+
+    return run
 
 
 J = json.loads
@@ -362,7 +381,7 @@ KERNELS = [
     kernel("fuzzy", "text_similarity", "double", lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()),
     kernel("nlp", "split_sentences", "string", lambda t: compact(sentences(t))),
     kernel("nlp", "sentence_count", "long", lambda t: len(sentences(t))),
-    kernel("nlp", "split_sentences_with_indices", "string", lambda t: compact([{"start": a, "end": b, "text": t[a:b]} for a, b in sentence_spans(t)])),
+    kernel("nlp", "split_sentences_with_indices", "string", lambda t: compact([{"sentence": t[a:b], "start": a, "end": b} for a, b in sentence_spans(t)])),
     kernel("nlp", "sentiment_score", "double", lambda t: polarity(t)["compound"]),
     kernel("nlp", "sentiment_label", "string", lambda t: "positive" if (c := polarity(t)["compound"]) >= 0.05 else "negative" if c <= -0.05 else "neutral"),
     kernel("nlp", "sentiment_breakdown", "string", lambda t: compact(polarity(t))),
@@ -377,15 +396,15 @@ KERNELS = [
     kernel("nlp", "text_diff_summary", "string", lambda a, b: compact(dict(zip(("added", "removed"), map(len, line_changes(a, b)), strict=True)))),
     kernel("html", "html_to_text", "string", html_to_text),
     kernel("html", "html_links", "string", lambda s: compact(read_html(s).links)),
-    kernel("html", "html_images", "string", lambda s: compact(read_html(s).images)),
+    kernel("html", "html_images", "string", lambda s: compact([dict(sorted(i.items())) for i in read_html(s).images])),
     kernel("template", "template_render", "string", template),
-    kernel("hypothesis", "t_test_1samp", "string", lambda x, mu: t_test(J(x), mu=mu)),
-    kernel("hypothesis", "t_test_2samp", "string", lambda x, y, equal=0: t_test(J(x), J(y), equal=bool(equal))),
-    kernel("hypothesis", "t_test_paired", "string", lambda x, y: t_test(np.array(J(x)) - np.array(J(y)))),
-    kernel("hypothesis", "chi_sq_gof", "string", lambda o, e: chi_square(J(o), J(e), len(J(o)) - 1)),
-    kernel("hypothesis", "chi_sq_independence", "string", independence),
-    kernel("hypothesis", "anova_f", "string", anova),
-    *(kernel("hypothesis", f"mc_{n}", "string", lambda p, alpha, m=m: adjusted(p, m)) for n, m in (("bonferroni", "bonferroni"), ("holm", "holm"), ("bh_fdr", "bh"), ("by_fdr", "by"))),
+    kernel("hypothesis", "t_test_1samp", "string", tested(lambda x, mu: t_test(J(x), mu=float(mu)))),
+    kernel("hypothesis", "t_test_2samp", "string", tested(lambda x, y, equal=0: t_test(J(x), J(y), equal=bool(equal)))),
+    kernel("hypothesis", "t_test_paired", "string", tested(lambda x, y: t_test(np.array(J(x)) - np.array(J(y))))),
+    kernel("hypothesis", "chi_sq_gof", "string", tested(lambda o, e: chi_square(J(o), J(e), len(J(o)) - 1))),
+    kernel("hypothesis", "chi_sq_independence", "string", tested(independence)),
+    kernel("hypothesis", "anova_f", "string", tested(anova)),
+    *(kernel("hypothesis", f"mc_{n}", "string", tested(lambda p, alpha, m=m: rejected(p, float(alpha), m))) for n, m in (("bonferroni", "bonferroni"), ("holm", "holm"), ("bh_fdr", "bh"), ("by_fdr", "by"))),
 ]
 
 FUNCTIONS = [*EXPRESSIONS, *KERNELS]

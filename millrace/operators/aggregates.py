@@ -81,9 +81,12 @@ def kll_quantile(sketch, q: float) -> Column:
 
 
 def decimal_sum(x, scale: int = 18) -> Column:
-    """The exact sum of numbers in text, as text without trailing zeros; what is no number is left out, null for none."""
-    total_ = F.sum(F.expr(f"try_cast({x} AS DECIMAL(38, {scale}))")).cast("string")
-    return F.regexp_replace(F.regexp_replace(total_, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """The exact sum of numbers in text, as text with as many fraction digits as the longest of them; what is no number is
+    left out, null for none.  At most `scale` fraction digits, 38 digits in all."""
+    number = f"try_cast({x} AS DECIMAL(38, {scale}))"
+    digits = F.max(F.expr(f"CASE WHEN {number} IS NOT NULL THEN length(regexp_extract({x}, '[.]([0-9]+)', 1)) END"))
+    whole = F.sum(F.expr(number)).cast("string")
+    return F.when(digits == 0, F.substring_index(whole, ".", 1)).otherwise(F.concat(F.substring_index(whole, ".", 1), F.lit("."), F.left(F.substring_index(whole, ".", -1), digits)))
 
 
 def approx_top_k(x, k: int, max_items: int = 10_000) -> Column:

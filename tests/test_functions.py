@@ -178,7 +178,11 @@ def test_tests_of_hypotheses():
     assert got["df"] == 4 and abs(got["p"] - 0.2302) < 1e-3
     chi = json.loads(text.chi_square([16, 18, 16, 14, 12, 12], [16, 16, 16, 16, 16, 8], 5))
     assert abs(chi["chi2"] - 3.5) < 1e-9 and abs(chi["p"] - 0.6233876) < 1e-6
-    assert json.loads(text.adjusted("[0.01,0.04,0.03,0.005]", "holm")) == [0.03, 0.06, 0.06, 0.02]
+    five = "[0.001,0.008,0.039,0.041,0.042]"
+    assert json.loads(text.rejected(five, 0.05, "bonferroni")) == {"adjusted_alpha": 0.01, "reject_array": [1, 1, 0, 0, 0]}
+    assert json.loads(text.rejected("[0.039,0.001,0.041,0.008,0.042]", 0.05, "holm")) == {"sorted_indices": [1, 3, 0, 2, 4], "reject_array": [0, 1, 0, 1, 0]}
+    assert json.loads(text.rejected(five, 0.05, "bh")) == {"threshold": 0.042, "reject_array": [1] * 5}
+    assert text.rejected("[0.5,2]", 0.05, "by") is None
 
 
 def test_json_paths():
