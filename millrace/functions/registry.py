@@ -105,10 +105,10 @@ def _vectorised(f: Function):
 
 def catalogue() -> dict[str, Function]:
     """All functions by name."""
-    from millrace.functions import aliases, arrays, codecs, conversion, datetime, formats, geo, identifiers, json_text, mathematics, network, phonetics, sketches, spatial, strings, text
+    from millrace.functions import aliases, arrays, codecs, conversion, datetime, formats, geo, identifiers, json_text, mathematics, more, network, phonetics, sketches, spatial, strings, text
 
     found: dict[str, Function] = {}
-    for module in (strings, mathematics, arrays, datetime, conversion, json_text, text, identifiers, codecs, network, geo, formats, sketches, phonetics, spatial, aliases):
+    for module in (strings, mathematics, arrays, datetime, conversion, json_text, text, identifiers, codecs, network, geo, formats, sketches, phonetics, spatial, aliases, more):
         for f in module.FUNCTIONS:
             if f.name in found:
                 raise ValueError(f"two functions named {f.name}")

@@ -84,6 +84,9 @@ CASES = [
     ("num_integrate_simpson('[[1,0],[0,1]]') IS NULL", True), ("num_derive('[[0,0],[1,1]]', 5D) IS NULL", True), ("num_fit_polynomial('[[0,0],[1,1]]', 5) IS NULL", True), ("radix_to(-42, 16)", "-2A"), ("radix_to(1295, 36)", "ZZ"), ("radix_from('-2A', 16)", -42), ("radix_from('not hex', 16) IS NULL", True), ("radix_change('11111111', 2, 16)", "FF"), ("rb_cardinality(rb_from_range(10, 5))", 0), ("sentence_count('The U.S.A. is large. Canada too.')", 2),
     ("split_sentences_with_indices('Hi. Bye.')", [{"sentence": "Hi.", "start": 0, "end": 3}, {"sentence": "Bye.", "start": 4, "end": 8}]), ("sha1_hex(NULL) = sha1_hex('')", True), ("ssn_validate('078-05-1120')", 0), ("ssn_mask('123-45-6789')", "XXX-XX-6789"), ("tld_extract('   ') IS NULL", True), ("tointeger('0x2a')", 42), ("tointeger('42.0')", 42), ("conv_temperature(0D, 'C', 'foo') IS NULL", True), ("uuid_variant('550e8400-e29b-41d4-a716-446655440000')", "rfc4122"), ("uuid_v7_timestamp('550e8400-e29b-41d4-a716-446655440000') IS NULL", True), ("vat_normalize('1234') IS NULL", True),
     ("ua_os('Mozilla/5.0 (Macintosh; Intel Mac OS X 10.15; rv:120.0) Gecko/20100101 Firefox/120.0')", "Mac OSX"), ("ua_browser('') IS NULL", True), ("lower(hex(hkdf_sha256(X'0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b', NULL, NULL, 42)))", "8da4e775a563c18f715f802a063c5a31b8a11f5c5ee1879ec3454e5f3c738d2d9d201395faa4b61a96c8"), ("hkdf_sha256(X'0b', X'00', X'f0', 0) IS NULL", True), ("hotp_verify('755224', 'this-is-not-base32!!!', 0)", 0), ("toml_keys('[server]\\nport = 8080\\nhost = \"x\"', 'server')", ["host", "port"]),
+    ("aba_fed_region('021000021')", "New York"), ("pkce_challenge_s256('dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk')", "E9Melhoa2OwvFrEMTJguCHaoeK1t8URWbuGJSstw-cM"), ("length(pkce_verifier(96))", 128), ("length(aead_random_key_256())", 32), ("length(aead_random_nonce_96())", 12), ("murmur3_32('hello')", 613153351), ("murmur3_32('')", 0), ("gamma(5)", 24.0),
+    ("mann_whitney('[1,2,3,4]', '[5,6,7,8]')", ANY), ("get_json_object(ks_2samp('[1,2,3,4,5]', '[6,7,8,9,10]'), '$.D')", "1"), ("polyline_simplify_dp('[[0,0],[1,1],[2,2],[4,4]]', 0.001D)", [[0.0, 0.0], [4.0, 4.0]]), ("polyline_simplify_vw('[[5,2],[3,8],[6,20],[7,25],[10,10]]', 30D)", [[5.0, 2.0], [7.0, 25.0], [10.0, 10.0]]), ("polyline_simplify_vw('no', 1D) IS NULL", True),
+    ("lower(hex(hkdf_sha256_extract(X'0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b0b', X'000102030405060708090a0b0c')))", "077709362c2e32df0ddc3f0dc47bba6390b6c73bb50f9c3122ec844ad7c2b3e5"), ("lower(hex(hkdf_sha256_expand(X'077709362c2e32df0ddc3f0dc47bba6390b6c73bb50f9c3122ec844ad7c2b3e5', X'f0f1f2f3f4f5f6f7f8f9', 42)))", "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865"),
     # GLOB and keys
     ("glob_match('a*c', 'abbc')", True), ("glob_match('a?c', 'abbc')", False), ("glob_match('[a-c]x', 'bx')", True), ("glob_match('[^a-c]x', 'bx')", False), ("glob_match('a.c', 'abc')", False), ("uint_key('a2') < uint_key('a10')", True), ("text_nocase_key('AbC')", "abc"),
 ]
