@@ -130,9 +130,9 @@ numfmt_percent(n DOUBLE, places INT) STRING = concat(format_string(concat('%.',
 numfmt_pad_left(s STRING, n INT, fill STRING) STRING = if(length(s) >= n, s, lpad(s, n, fill)) ;; numfmt_pad_left(CAST(p_size AS STRING), 5, '0') ;; lpad(CAST(p_size AS VARCHAR), 5, '0')
 numfmt_group(n DOUBLE, sep STRING) STRING = replace(regexp_replace(format_string('%,.6f', n), '\\.?0+$', ''), ',', sep)
 natsort_key(s STRING) STRING = array_join(transform(regexp_extract_all(lower(s), '([0-9]+|[^0-9]+)', 1), p -> if(p RLIKE '^[0-9]+$', lpad(ltrim('0', p), 20, '0'), p)), '') ;; natsort_key(p_brand) ;; regexp_replace(lower(p_brand), '([0-9]+)', '') || lpad(regexp_extract(p_brand, '[0-9]+'), 20, '0')
-uint_key(s STRING) STRING = array_join(transform(regexp_extract_all(s, '([0-9]+|[^0-9]+)', 1), p -> if(p RLIKE '^[0-9]+$', lpad(ltrim('0', p), 20, '0'), p)), '') ;; uint_key(c_name) ;; regexp_replace(c_name, '[0-9]+', lpad(ltrim(regexp_extract(c_name, '[0-9]+'), '0'), 20, '0'))
-text_nocase_key(s STRING) STRING = lower(s) ;; text_nocase_key(c_name) ;; lower(c_name)
-glob_match(p STRING, s STRING) BOOLEAN = s RLIKE concat('(?s)^', replace(replace(regexp_replace(regexp_replace(p, '([.+$(){}|\\\\])', '\\\\$1'), '(?<!\\[)\\^', '\\\\^'), '*', '.*'), '?', '.'), '$') ;; glob_match('Cust*#0*[1-4]?', c_name) ;; c_name GLOB 'Cust*#0*[1-4]?'
+uint_key(s STRING) STRING = array_join(transform(regexp_extract_all(s, '([0-9]+|[^0-9]+)', 1), p -> if(p RLIKE '^[0-9]+$', lpad(ltrim('0', p), 20, '0'), p)), '') ;; uint_key(p_brand) ;; regexp_replace(p_brand, '[0-9]+', lpad(ltrim(regexp_extract(p_brand, '[0-9]+'), '0'), 20, '0'))
+text_nocase_key(s STRING) STRING = lower(s) ;; text_nocase_key(p_brand) ;; lower(p_brand)
+glob_match(p STRING, s STRING) BOOLEAN = s RLIKE concat('(?s)^', replace(replace(regexp_replace(regexp_replace(p, '([.+$(){}|\\\\])', '\\\\$1'), '(?<!\\[)\\^', '\\\\^'), '*', '.*'), '?', '.'), '$') ;; glob_match('B*d#[1-4]?', p_brand) ;; p_brand GLOB 'B*d#[1-4]?'
 natsort_compare(a STRING, b STRING) INT = CASE WHEN natsort_key(a) < natsort_key(b) THEN -1 WHEN natsort_key(a) > natsort_key(b) THEN 1 WHEN length(a) <> length(b) THEN CAST(sign(length(a) - length(b)) AS INT) ELSE 0 END
 natsort_less(a STRING, b STRING) INT = CAST(natsort_key(a) < natsort_key(b) AS INT)
 ngrams_char(s STRING, n INT) STRING = if(s IS NULL OR n IS NULL, NULL, to_json(if(length(s) < n, CAST(array() AS ARRAY<STRING>), transform(sequence(1, greatest(length(s) - n + 1, 1)), i -> substr(s, i, n))))) ;; ngrams_char(left(p_brand, 3), 2) ;; '["' || left(p_brand, 2) || '","' || substr(p_brand, 2, 2) || '"]'
