@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,8 +73,19 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trim() -> None:
+    """Give back to the system what earlier work of this worker process has freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of SLICE rows and SLICE_BYTES (or one row) at most, so that few are Python objects at once."""
+    """The same rows in batches of SLICE rows and SLICE_BYTES (or one row) at most, so that few are Python objects at once.
+
+    Workers are used again by later tasks, so memory is given back before the first batch and after the last.
+    """
+    trim()
     for b in batches:
         todo = [b]
         while todo:
@@ -83,6 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 todo += [b.slice(cut), b.slice(0, cut)]
             elif n:
                 yield b
+    trim()
 
 
 def append_columns(df: DataFrame, outputs: dict[str, str], factory: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:

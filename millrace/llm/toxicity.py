@@ -27,7 +27,8 @@ from millrace.llm.common import append_columns, bounded_sample, held_out, one_pe
 
 WORD = re.compile(r"\w+")
 MAX_LABELLED = 20_000
-FLUSH = 1 << 18
+FLUSH = 1 << 16
+BUCKETS = 1 << 20
 
 
 @dataclass
@@ -138,21 +139,31 @@ def labelled(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED) -> DataF
     return one_per_id(found, "id", "text", "toxic").select("text", "toxic").distinct()
 
 
-def _frequencies(batches):
-    """(word, n): in how many of a task's texts a word occurs, in parts of at most FLUSH words or so."""
-    found: Counter[str] = Counter()
+def _frequencies(wanted: np.ndarray):
+    """(word, n): in how many of a task's texts a word occurs, for words whose hash is wanted; a null word counts them all.
 
-    def part():
-        made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-        found.clear()
-        return made
+    Counts leave the task in parts of at most FLUSH words or so.
+    """
 
-    for b in slices(batches):
-        for text in b.column(0).to_pylist():
-            found.update(set(WORD.findall((text or "").lower())))
-            if len(found) > FLUSH:
-                yield part()
-    yield part()
+    def run(batches):
+        found: Counter[str] = Counter()
+        total, held = 0, wanted.tobytes()  # a byte string is indexed faster than an array
+
+        def part(more: list):
+            words, n = [*found, *(w for w, _ in more)], [*found.values(), *(k for _, k in more)]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
+                words = set(WORD.findall((text or "").lower()))
+                total += len(words)
+                found.update(w for w in words if held[zlib.crc32(w.encode()) & BUCKETS - 1])
+                if len(found) > FLUSH:
+                    yield part([])
+        yield part([(None, total)])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED, z: float = 3.0, prior: float = 0.1, min_texts: int = 5) -> ToxicityModel:
@@ -160,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED, z: float = 3.
 
     docs: doc_id, text.  labels: doc_id, toxic (0 or 1; null rows are left out).  prior: strength of the Dirichlet prior,
     as a share of all counts; its shape is that of the words of all documents, which are counted without their labels.
+    Of those only the words that at least min_texts counts of the sample hold are summed, found by BUCKETS hash buckets.
     Only words whose log-odds are proven (|d| >= z sigma over at least min_texts counts) reach the driver.
     """
     sample = written(labelled(docs, labels, n))
@@ -170,12 +182,16 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED, z: float = 3.
     model = ToxicityModel()
     if not n1 or not n0:
         return model
-    corpus = written(docs.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    whole = corpus.agg(F.sum("n")).first()[0]
+    enough = F.col("y1") + F.col("y0") >= min_texts
+    wanted = np.zeros(BUCKETS, bool)
+    buckets = counts.where(enough).select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).cast("int").alias("at"))
+    wanted[[r[0] for r in buckets.distinct().collect()]] = True
+    corpus = written(docs.select("text").mapInArrow(_frequencies(wanted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    whole = corpus.where(F.col("word").isNull()).first()["n"]
     share = prior * (n1 + n0)
     a, y1, y0 = F.col("n") * F.lit(share / whole), F.col("y1"), F.col("y0")  # a: the prior's counts of the word
     odds = lambda y, all_: F.log((y + a) / (F.lit(float(all_ + share)) - y - a))
-    proven = counts.where(y1 + y0 >= min_texts).join(corpus, "word").withColumn("d", odds(y1, n1) - odds(y0, n0)).withColumn("sigma", F.sqrt(1 / (y1 + a) + 1 / (y0 + a)))
+    proven = counts.where(enough).join(corpus, "word").withColumn("d", odds(y1, n1) - odds(y0, n0)).withColumn("sigma", F.sqrt(1 / (y1 + a) + 1 / (y0 + a)))
     proven = proven.where(F.abs("d") >= z * F.col("sigma")).select("word", "y1", "y0", a.alias("a"), "d", "sigma").collect()
     weights, other1, other0, p = {}, float(n1), float(n0), []
     for w, y1, y0, a, d, sigma in sorted(proven):
