@@ -73,6 +73,15 @@ def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int) -> D
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
+def top_items(df: DataFrame, x: str, k: int | None = None, name: str = "n") -> DataFrame:
+    """Each value of x (null too) with its exact count, or the k most frequent of them, equal counts by the value.
+
+    Counts are pre-aggregated in the tasks; A.approx_top_k is the sketch of bounded memory.
+    """
+    found = df.groupBy(x).agg(F.count(F.lit(1)).alias(name))
+    return found if k is None else found.orderBy(F.desc(name), F.asc(x)).limit(k)
+
+
 def mode(df: DataFrame, keys: list[str], value: str, name: str = "mode") -> DataFrame:
     """The most frequent value of each group, ties to the smallest; counted in two partial aggregations."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).count()
