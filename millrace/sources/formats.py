@@ -8,6 +8,7 @@ import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: About how many bytes of entries go into an Arrow batch.
+BATCH_BYTES = 1 << 22
+
 
 def csv(spark: SparkSession, path: str, header: bool = True, separator: str = ",") -> DataFrame:
     """A CSV file with every column as text; quoted line ends belong to their cell."""
@@ -153,13 +157,15 @@ def write_archives(df: DataFrame, folder: str, kind: str = "zip") -> int:
         out = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) if kind == "zip" else tarfile.open(fileobj=f, mode="w|")
         with out:
             for b in batches:
-                for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for name, data in zip(b.column(0), b.column(1), strict=True):
+                    name, data = name.as_py(), data.as_py()
                     if kind == "zip":
                         out.writestr(name if data is not None else name.rstrip("/") + "/", data or b"")
                     else:
                         info = tarfile.TarInfo(name)
                         info.type, info.size = (tarfile.DIRTYPE, 0) if data is None else (tarfile.REGTYPE, len(data))
                         out.addfile(info, io.BytesIO(data or b""))
+                        out.members.clear()  # else every entry's header is kept
                     n += 1
         return n
 
@@ -203,30 +209,71 @@ def _sheet_rows(content: bytes, sheet: int, space: str) -> Iterator[tuple[int, l
             row.clear()
 
 
-def _entries(kind: str):
+def _opened(uri: str) -> io.BufferedReader:
+    """A file that Spark names, for reading at any place; only what is read is held."""
+    if uri.startswith("file:"):
+        where, at = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    else:
+        where, at = fs.FileSystem.from_uri(quote(uri, safe=":/@?=&"))
+    return io.BufferedReader(where.open_input_file(at), 1 << 18)
+
+
+def _entry_rows(file, kind: str) -> Iterator[tuple[str, int, bytes | None]]:
+    """(name, size, data) of an archive's entries, one at a time; data is null for what is no file."""
+    if kind == "zip":
+        with zipfile.ZipFile(file) as z:
+            for i in z.infolist():
+                yield i.filename, i.file_size, None if i.is_dir() else z.read(i)
+    else:
+        with tarfile.open(fileobj=file, stream=True) as t:  # stream: the entries passed are not kept
+            for i in t:
+                yield i.name, i.size, t.extractfile(i).read() if i.isfile() else None
+
+
+def _entries(kind: str, opened: Callable):
+    """Arrow batches of about BATCH_BYTES, or one entry, from rows of (path, ...), whose last cell `opened` makes a file of."""
+
+    def batch_of(path: str, rows: list) -> pa.RecordBatch:
+        names, sizes, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(names), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["path", "name", "size", "data"])
+
     def run(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
-                if kind == "zip":
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [(path, i.filename, i.file_size, None if i.is_dir() else z.read(i)) for i in z.infolist()]
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                        rows = [(path, i.name, i.size, t.extractfile(i).read() if i.isfile() else None) for i in t]
-                for r in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0]]), pa.array([r[1]]), pa.array([r[2]], pa.int64()), pa.array([r[3]], pa.binary())], names=["path", "name", "size", "data"])
+            for path, at in zip(b.column(0), b.column(b.num_columns - 1), strict=True):
+                path, rows, held = path.as_py(), [], 0
+                with opened(at.as_py()) as file:
+                    for r in _entry_rows(file, kind):
+                        rows.append(r)
+                        held += len(r[2] or b"") + 100
+                        if held > BATCH_BYTES:
+                            yield batch_of(path, rows)
+                            rows, held = [], 0
+                if rows:
+                    yield batch_of(path, rows)
 
     return run
 
 
+def _archive_entries(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """An archive is read entry by entry from its file system; only where pyarrow cannot open that does Spark hand over
+    whole files, one row each, which then must fit in memory."""
+    found = spark.read.format("binaryFile").load(path)
+    one, columns, opened = found.select("path").first(), ["path"], _opened
+    try:
+        if one is not None:
+            _opened(one["path"]).close()
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        columns, opened = ["path", "content"], io.BytesIO
+    return found.select(*columns).mapInArrow(_entries(kind, opened), "path string, name string, size long, data binary")
+
+
 def zip_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, size, data) of every entry of the archives that a path or pattern names; one archive is one row."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_entries("zip"), "path string, name string, size long, data binary")
+    """(path, name, size, data) of every entry of the archives that a path or pattern names; a task holds few entries."""
+    return _archive_entries(spark, path, "zip")
 
 
 def tar_entries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_entries("tar"), "path string, name string, size long, data binary")
+    return _archive_entries(spark, path, "tar")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

@@ -45,7 +45,7 @@ def src_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _archived(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = _at(spark)
-        docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").repartition(4, "doc_id")
+        docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").repartition("doc_id")  # as many archives as the size asks for
         formats.write_archives(docs.select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.encode("text", "utf-8").alias("data")), at, kind)
         read = formats.zip_entries if kind == "zip" else formats.tar_entries
         return read(spark, f"{at}/*.{kind}").select("name", "size", F.decode("data", "utf-8").alias("text"))

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tarfile
+import tracemalloc
+import zipfile
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +17,7 @@ from millrace.functions import queries as functions
 from millrace.operators import aggregates as A
 from millrace.operators import queries as operators
 from millrace.operators import relational as R
+from millrace.sources import formats
 from tests import oracle
 
 
@@ -46,3 +54,37 @@ def test_an_aba_number_counts_all_nine_digits(spark):
     from millrace.functions.registry import sql
 
     assert [r[0] for r in sql(spark, "SELECT aba_validate(s) FROM VALUES ('021000021'), ('121000021'), ('021100021') AS t(s)").collect()] == [1, 0, 0]
+
+
+def peak_of_reading(path, kind: str, size: int) -> int:
+    """The most bytes that Python holds while a task reads the entries of an archive, which must come whole and in order."""
+    tracemalloc.start()
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([f"file:{path}"])], names=["path"])
+        names = []
+        for b in formats._entries(kind, formats._opened)([batch]):
+            names += b.column("name").to_pylist()
+            assert all(len(x.as_py()) == size for x in b.column("data"))
+        assert names == [f"{i}.bin" for i in range(len(names))] and len(names) == 64
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def archive(path, kind: str, size: int) -> None:
+    with zipfile.ZipFile(path, "w") if kind == "zip" else tarfile.open(path, "w") as out:
+        for i in range(64):
+            if kind == "zip":
+                out.writestr(f"{i}.bin", os.urandom(size))
+            else:
+                info = tarfile.TarInfo(f"{i}.bin")
+                info.size = size
+                out.addfile(info, io.BytesIO(os.urandom(size)))
+
+
+def test_a_tar_is_read_entry_by_entry(spark, tmp_path):
+    archive(tmp_path / "a b%.tar", "tar", 1 << 20)
+    assert peak_of_reading(tmp_path / "a b%.tar", "tar", 1 << 20) < 24 << 20  # of 64 MB
+    found = formats.tar_entries(spark, f"{tmp_path}/a*.tar")
+    assert [r[0] for r in found.groupBy("size").count().select("count").collect()] == [64]
+    assert sorted(int(r["name"].removesuffix(".bin")) for r in found.select("name").collect()) == list(range(64))
