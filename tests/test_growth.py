@@ -88,3 +88,8 @@ def test_a_tar_is_read_entry_by_entry(spark, tmp_path):
     found = formats.tar_entries(spark, f"{tmp_path}/a*.tar")
     assert [r[0] for r in found.groupBy("size").count().select("count").collect()] == [64]
     assert sorted(int(r["name"].removesuffix(".bin")) for r in found.select("name").collect()) == list(range(64))
+
+
+def test_a_zip_is_read_entry_by_entry(tmp_path):
+    archive(tmp_path / "a.zip", "zip", 1 << 20)
+    assert peak_of_reading(tmp_path / "a.zip", "zip", 1 << 20) < 24 << 20
