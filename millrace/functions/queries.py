@@ -43,13 +43,23 @@ def sampled() -> dict[str, list[Function]]:
     return out
 
 
+def by_kernel(call: str) -> bool:
+    """Whether a call comes to a kernel, itself or through the bodies of what it calls."""
+    called = [known()[n] for n in CALL.findall(call) if n in known()]
+    return any(f.kernel is not None or by_kernel(f.body.replace(f"{f.name}(", "(")) for f in called)
+
+
 def _query(family: str, functions: list[Function]) -> Callable[[SparkSession, str], DataFrame]:
     name, key = TABLES[family]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         install(spark, dict.fromkeys(n for f in functions for n in CALL.findall(f.call) if n in known()))
         table(spark, sf_dir, name).createOrReplaceTempView(f"_functions_{name}")
-        return spark.sql(f"SELECT {key}, {', '.join(f'{f.call} AS v_{f.name}' for f in functions)} FROM _functions_{name}")
+        # Rows wait for the kernels' answers with all their columns, so kernels come first, beside the table's own columns.
+        made = {f.name for f in functions if by_kernel(f.call)}
+        inner = "".join(f", {f.call} AS v_{f.name}" for f in functions if f.name in made)
+        outer = ", ".join(f"v_{f.name}" if f.name in made else f"{f.call} AS v_{f.name}" for f in functions)
+        return spark.sql(f"SELECT {key}, {outer} FROM (SELECT *{inner} FROM _functions_{name})")
 
     return run
 

@@ -63,6 +63,14 @@ def test_sketches_are_not_made_for_each_value(same_on, spark, capsys):
     same_on(operators, "agg_approx", lineitem="SELECT * REPLACE (CASE WHEN l_linenumber > 1 THEN l_orderkey END AS l_partkey) FROM '{folder}/lineitem.parquet'")
 
 
+def test_rows_wait_for_kernels_with_the_tables_columns(spark, capsys):
+    functions.queries()["fn_math"](spark, oracle.FOLDER).explain()
+    plan = capsys.readouterr().out.splitlines()
+    at = next(i for i, line in enumerate(plan) if "ArrowEvalPython" in line)
+    below = next(line for line in plan[at + 1 :] if "Project [" in line)
+    assert below.count("#") <= 14  # the table's columns that are read, and the kernels' arguments
+
+
 def peak_of_reading(path, kind: str, size: int) -> int:
     """The most bytes that Python holds while a task reads the entries of an archive, which must come whole and in order."""
     tracemalloc.start()
