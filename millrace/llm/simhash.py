@@ -29,6 +29,7 @@ LIMIT = 4096
 DISTANCE = 3
 PART = 1 << 15
 BLOCK = 256
+CONTRACTED = 1 << 20
 BLOCK_BYTES = 1 << 23
 
 
@@ -188,13 +189,53 @@ def links(fps: DataFrame, limit: int = LIMIT, distance: int = DISTANCE, rows: in
         todo = got.where("more").select(F.col("a").alias("mask"), F.col("b").alias("fp")).distinct()
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components with one edge for each node but the least of each: (node, least).  Least neighbours and jumps."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        a, b = root[x], root[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (next_ := root[root])).any():
+            root = next_
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) of longs with the same components: each CONTRACTED edges of a task become stars.
+
+    A group in which many texts share many lists has many edges a node; its stars have fewer than one.
+    """
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append([np.asarray(b.column(i)) for i in (0, 1)])
+            n += b.num_rows
+            if n >= CONTRACTED:
+                held = [stars(*map(np.concatenate, zip(*held, strict=True)))]
+                n = len(held[0][0])
+                if n >= CONTRACTED // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["u", "v"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*map(np.concatenate, zip(*held, strict=True)))], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int = 1 << 40) -> DataFrame:
     """(node, root): for every node of an edge, the least node of its component.  Rounds of large and small stars.
 
     rows: a bound on the edges, for the number of files.  Each round keeps its edges in the shared folder; the least neighbour is pre-aggregated, so a hub's edges are never
     gathered in one task.
     """
-    now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().coalesce(parts(rows)))
+    edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    now = written(contracted(edges.distinct().coalesce(parts(rows))))
     state = _state(now)
     while state[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -203,7 +244,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int = 1 << 40
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small.coalesce(parts(2 * state[0])))
+        new = written(contracted(small.coalesce(parts(2 * state[0]))))
         dropped(now)
         now, before = new, state
         state = _state(now)
