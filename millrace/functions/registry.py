@@ -8,6 +8,8 @@ a Python function run over Arrow batches.  A function whose name and meaning are
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -15,6 +17,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,13 @@ def _plain(x):
     return float(x) if isinstance(x, Decimal) else x
 
 
+def trim() -> None:
+    """Give back to the system what earlier batches have freed, so a worker does not grow with the rows it has seen."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _vectorised(f: Function):
     whole = f.returns.lower() in ("long", "int", "bigint")
 
@@ -96,6 +106,7 @@ def _vectorised(f: Function):
 
     @F.pandas_udf(f.returns)
     def run(*columns: pd.Series) -> pd.Series:
+        trim()
         rows = zip(*([_plain(x) for x in c] if c.dtype.kind in "fO" else c.tolist() for c in columns), strict=True)
         got = [f.kernel(*r) for r in rows]
         return pd.Series(got, dtype="Int64") if whole else pd.Series(got, dtype=object)
