@@ -286,3 +286,33 @@ def test_rates_against_a_plain_solver(spark):
         e = (r * t) @ p - goal
         r = np.maximum(0, r - 0.01 * (0.7 * p @ inverse @ e + 0.05 * (r - 1)))
     assert loss(got) <= loss(r) * 1.02 and np.abs((got * t) @ p - goal).max() <= np.abs((r * t) @ p - goal).max() + 1e-6
+
+
+def test_rare_endings_of_a_toxic_stem(spark):
+    """Each form is too rare to be proven; a stem whose many forms stand in one text only is no proof."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    ends = ["".join(rnd.choices("bdgklmnprst", k=5)) for _ in range(400)]
+    texts, unseen = [], []
+    for i in range(400):
+        t = rnd.choices(words, k=30)
+        if i % 4 == 0:
+            t[5:8] = [f"grobi{e}" for e in ends[i : i + 3]]
+        if i == 8:
+            t += [f"solo{e}" for e in ends[:40]]
+        texts.append((i, " ".join(t)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int"))
+    assert "grobi" in model.stems and not any(s.startswith("solo") for s in model.stems)
+    unseen = " ".join(words[:15] + ["Grobixyz", "grobiuvw", "grobiq"] + words[:15])
+    got = rows(toxicity.score(documents(spark, [unseen, unseen.lower().replace("grobi", "solo"), " ".join(words)]), model).select("doc_id", "predicted"))
+    assert got == [(0, 1), (1, 0), (2, 0)]
+
+
+def test_repeats_of_a_toxic_word_are_no_further_evidence():
+    m = toxicity.ToxicityModel({"vile": 3.0, "foul": 3.0}, -0.2, 1.0, 0.01, stems={"grob": 2.0, "grobia": 4.0})
+    assert [m.weight(w) for w in ("vile", "grob", "grobheit", "grobian", "gro", "calm")] == [3.0, 2.0, 2.0, 4.0, -0.2, -0.2]
+    calm = " calm" * 40
+    once, repeated = m.evidence("vile foul" + 2 * calm), m.evidence("vile foul" + calm + " vile foul" + calm[:-10])
+    assert abs(once[0] - repeated[0]) < 1e-9 and (once[1], repeated[1]) == (1, 2)
+    assert len(m.significant("vile foul" + calm + " vile foul" + calm)) == 2
