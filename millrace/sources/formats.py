@@ -6,8 +6,9 @@ import io
 import json
 import tarfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import chain, islice
 from urllib.parse import quote
 from xml.etree import ElementTree
 
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: About how many bytes of entries go into an Arrow batch.
 BATCH_BYTES = 1 << 22
+#: Entries of an archive that is written; zipfile keeps the header of each until the archive is closed, and reads them all.
+ARCHIVE_ENTRIES = 5_000
 
 
 def csv(spark: SparkSession, path: str, header: bool = True, separator: str = ",") -> DataFrame:
@@ -111,18 +114,22 @@ def arrow(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("arrow_ipc").option("path", path).load()
 
 
-def _written(df: DataFrame, folder: str, suffix: str, save: Callable[[Iterator[pa.RecordBatch], pa.NativeFile], int]) -> int:
-    """One file for each partition of df, under its number; the number of rows.
+def _written(df: DataFrame, folder: str, suffix: str, save: Callable[[Iterator, pa.NativeFile], int], parts: Callable[[Iterator[pa.RecordBatch]], Iterable[Iterator]] = lambda batches: [batches]) -> int:
+    """One file for each of the parts of each partition of df, under their numbers; the number of rows.
 
-    A file is written under another name and moved, so a task that is run again replaces its file, never half of it.
+    Files are written under other names and moved when the last is whole, so a task that is run again replaces its files,
+    never half of one.  The number of parts must follow from the number of rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         where, at = _place(folder)
-        name = f"part-{task.partitionId():06d}{suffix}"
-        with where.open_output_stream(f"{at}/_{name}.{task.taskAttemptId()}") as f:
-            n = save(batches, f)
-        where.move(f"{at}/_{name}.{task.taskAttemptId()}", f"{at}/{name}")
+        n, names = 0, []
+        for part in parts(batches):
+            names.append(f"part-{task.partitionId():06d}" + (f"-{len(names):06d}" if names else "") + suffix)
+            with where.open_output_stream(f"{at}/_{names[-1]}.{task.taskAttemptId()}") as f:
+                n += save(part, f)
+        for name in names:
+            where.move(f"{at}/_{name}.{task.taskAttemptId()}", f"{at}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     where, at = _place(folder)
@@ -148,28 +155,35 @@ def write_arrow(df: DataFrame, folder: str) -> int:
 
 
 def write_archives(df: DataFrame, folder: str, kind: str = "zip") -> int:
-    """(name, data) rows as entries of zip or tar archives, one archive a partition; the number of entries.
+    """(name, data) rows as entries of zip or tar archives, one archive for each ARCHIVE_ENTRIES rows of a partition at most;
+    the number of entries.
 
     A null data is a directory.  Archives are built one entry at a time.
     """
-    def save(batches: Iterator[pa.RecordBatch], f: pa.NativeFile) -> int:
+    def save(rows: Iterator[tuple[str, bytes | None]], f: pa.NativeFile) -> int:
         n = 0
         out = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) if kind == "zip" else tarfile.open(fileobj=f, mode="w|")
         with out:
-            for b in batches:
-                for name, data in zip(b.column(0), b.column(1), strict=True):
-                    name, data = name.as_py(), data.as_py()
-                    if kind == "zip":
-                        out.writestr(name if data is not None else name.rstrip("/") + "/", data or b"")
-                    else:
-                        info = tarfile.TarInfo(name)
-                        info.type, info.size = (tarfile.DIRTYPE, 0) if data is None else (tarfile.REGTYPE, len(data))
-                        out.addfile(info, io.BytesIO(data or b""))
-                        out.members.clear()  # else every entry's header is kept
-                    n += 1
+            for name, data in rows:
+                if kind == "zip":
+                    out.writestr(name if data is not None else name.rstrip("/") + "/", data or b"")
+                else:
+                    info = tarfile.TarInfo(name)
+                    info.type, info.size = (tarfile.DIRTYPE, 0) if data is None else (tarfile.REGTYPE, len(data))
+                    out.addfile(info, io.BytesIO(data or b""))
+                    out.members.clear()  # else every entry's header is kept
+                n += 1
         return n
 
-    return _written(df.select(F.col("name").cast("string"), F.col("data").cast("binary")), folder, f".{kind}", save)
+    return _written(df.select(F.col("name").cast("string"), F.col("data").cast("binary")), folder, f".{kind}", save, _archive_parts)
+
+
+def _archive_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[str, bytes | None]]]:
+    """The (name, data) rows of batches, ARCHIVE_ENTRIES at a time; no rows are one empty part."""
+    rows = ((name.as_py(), data.as_py()) for b in batches for name, data in zip(b.column(0), b.column(1), strict=True))
+    yield islice(rows, ARCHIVE_ENTRIES)
+    for row in rows:
+        yield chain([row], islice(rows, ARCHIVE_ENTRIES - 1))
 
 
 def excel(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
@@ -209,13 +223,23 @@ def _sheet_rows(content: bytes, sheet: int, space: str) -> Iterator[tuple[int, l
             row.clear()
 
 
+class _Reader(io.BufferedReader):
+    """zipfile looks for records before the start of a short archive, and expects an OSError."""
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        try:
+            return super().seek(at, whence)
+        except pa.ArrowInvalid as e:
+            raise OSError(str(e)) from e
+
+
 def _opened(uri: str) -> io.BufferedReader:
     """A file that Spark names, for reading at any place; only what is read is held."""
     if uri.startswith("file:"):
         where, at = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     else:
         where, at = fs.FileSystem.from_uri(quote(uri, safe=":/@?=&"))
-    return io.BufferedReader(where.open_input_file(at), 1 << 18)
+    return _Reader(where.open_input_file(at), 1 << 18)
 
 
 def _entry_rows(file, kind: str) -> Iterator[tuple[str, int, bytes | None]]:

@@ -108,3 +108,16 @@ def test_a_tar_is_read_entry_by_entry(spark, tmp_path):
 def test_a_zip_is_read_entry_by_entry(tmp_path):
     archive(tmp_path / "a.zip", "zip", 1 << 20)
     assert peak_of_reading(tmp_path / "a.zip", "zip", 1 << 20) < 24 << 20
+
+
+@pytest.mark.parametrize("kind", ["zip", "tar"])
+def test_archives_of_a_large_partition_are_bounded(spark, tmp_path, kind):
+    n = 2 * formats.ARCHIVE_ENTRIES + 7
+    rows = spark.range(n).select(F.concat("id", F.lit(".txt")).alias("name"), F.encode(F.col("id").cast("string"), "utf-8").alias("data")).coalesce(1)
+    assert formats.write_archives(rows, str(tmp_path / "many"), kind) == n
+    read = formats.zip_entries if kind == "zip" else formats.tar_entries
+    found = read(spark, f"{tmp_path}/many/*.{kind}")
+    assert sorted(r[0] for r in found.groupBy("path").count().select("count").collect()) == [7, formats.ARCHIVE_ENTRIES, formats.ARCHIVE_ENTRIES]
+    assert found.where(F.concat(F.decode("data", "utf-8"), F.lit(".txt")) == F.col("name")).select("name").distinct().count() == n
+    assert formats.write_archives(rows.where("name = 'none'"), str(tmp_path / "none"), kind) == 0
+    assert read(spark, f"{tmp_path}/none/*.{kind}").count() == 0
